@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import repetition
+from rankloom.llm import repetition, tokenizing
 from rankloom.session import table
 
 
@@ -18,5 +18,10 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.measure(table(spark, folder, "documents")).select("doc_id", "words", "repeated", "share")
 
 
-QUERIES = {"p8_found": p8_found, "p8_shares": p8_shares}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k."""
+    return tokenizing.encode_corpus(table(spark, folder, "documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
