@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import repetition, tokenizing
-from rankloom.session import table
+from rankloom.llm import repetition, splitting, tokenizing
+from rankloom.session import latest, table
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,10 +18,24 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.measure(table(spark, folder, "documents")).select("doc_id", "words", "repeated", "share")
 
 
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    return latest(table(spark, folder, "source_documents").select(F.col("id").alias("doc_id"), "loaded_at", "text"), ["doc_id"], ["loaded_at"]).select("doc_id", "text")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections of source_documents that must be cut."""
+    return splitting.oversized(splitting.split(_sources(spark, folder)))
+
+
+def p4_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of all sections of source_documents."""
+    return splitting.split(_sources(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return tokenizing.encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p4_found": p4_found, "p4_chunks": p4_chunks, "p6_ids": p6_ids, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
