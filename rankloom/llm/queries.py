@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import repetition, splitting, tokenizing
+from rankloom.llm import leakage, repetition, splitting, tokenizing
 from rankloom.session import latest, table
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of benchmark items."""
+    return leakage.leaked(leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaking documents by item and kind."""
+    return leakage.report(leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that repeat a quarter of their words or more."""
     return repetition.repetitive(repetition.outliers(table(spark, folder, "documents")))
@@ -37,5 +47,5 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_chunks": p4_chunks, "p6_ids": p6_ids, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p4_found": p4_found, "p4_chunks": p4_chunks, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
