@@ -39,6 +39,8 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _QUOTED = re.compile(r"(?:=[0-9A-F]{2})+")
 _BROKEN = re.compile(r"(?<=\w)-\r?\n[ \t>|*#]*(?=[a-z])")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_TARGET = re.compile(r"\]\([^()\s]*(?:\s\"[^\"]*\")?\)|\[\^?\d{1,3}\]")
+_LINE_NUMBER = re.compile(r"^[ \t>|]*\d{1,6}[:.)\]|][ \t]+", re.M)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -50,8 +52,8 @@ def _octets(pattern_text: str, mark: str) -> str:
         return raw.decode("latin-1")
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text as they are compared."""
+def plain(text: str | None) -> str:
+    """The text in lower case without accents, escapes, tags, link targets and hidden characters."""
     t = text or ""
     if "\\" in t:
         t = _ESCAPE.sub(" ", _UNICODE.sub(lambda m: chr(int(m[1], 16)), t))
@@ -68,7 +70,21 @@ def words(text: str | None) -> list[str]:
         t = "".join(c for c in t if not unicodedata.combining(c)).replace("ß", "ss")
     if "-" in t:
         t = _BROKEN.sub("", t)
-    return _WORD.findall(t.lower())
+    if "](" in t or "[" in t:
+        t = _TARGET.sub(" ", t)
+    return t.lower()
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text as they are compared."""
+    return _WORD.findall(plain(text))
+
+
+def readings(text: str | None) -> list[list[str]]:
+    """The words of a text, and once more without numbers at the start of lines where there are any: they may be line marks or words."""
+    t = plain(text)
+    bare = _LINE_NUMBER.sub("", t)
+    return [_WORD.findall(t)] + ([_WORD.findall(bare)] if len(bare) < len(t) else [])
 
 
 def _bits(word: str) -> np.ndarray:
@@ -209,8 +225,11 @@ def _search(items: list[tuple[int, list[str]]]):
         for pdf in slices(batches):
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                w = np.array([lookup(x, none) for x in words(text)], np.int64)
-                rows += [(doc, index.ids[i], kind, found) for i, kind, found in leaks(w, index)]
+                best: dict[int, tuple[str, int]] = {}
+                for reading in readings(text):
+                    for i, kind, found in leaks(np.array([lookup(x, none) for x in reading], np.int64), index):
+                        best[i] = max(best.get(i, ("", 0)), (kind, found))
+                rows += [(doc, index.ids[i], *b) for i, b in best.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "kind", "words"])
 
     return run
