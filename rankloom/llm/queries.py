@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import leakage, repetition, splitting, tokenizing
+from rankloom.llm import leakage, neighbours, repetition, splitting, tokenizing
 from rankloom.session import latest, table
 
 
@@ -28,6 +28,19 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.measure(table(spark, folder, "documents")).select("doc_id", "words", "repeated", "share")
 
 
+TABLES = {"stored_chunks": "id", "graph_communities": "seq"}
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows of which one is among the five most similar of the other, in either table."""
+    out = None
+    for origin, key in TABLES.items():
+        rows = table(spark, folder, origin).select(F.col(key).alias("key"), "embedding")
+        found = neighbours.pairs(neighbours.most_similar(rows)).select(F.lit(origin).alias("origin"), "id_lo", "id_hi")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(spark, folder, "source_documents").select(F.col("id").alias("doc_id"), "loaded_at", "text"), ["doc_id"], ["loaded_at"]).select("doc_id", "text")
 
@@ -47,5 +60,5 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_chunks": p4_chunks, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
