@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import leakage, neighbours, repetition, splitting, tokenizing
+from rankloom.llm import leakage, markup, neighbours, repetition, splitting, tokenizing
 from rankloom.session import latest, table
 
 
@@ -55,10 +55,36 @@ def p4_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(_sources(spark, folder))
 
 
+def _marked(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    docs = table(spark, folder, "source_documents").select(F.col("id").alias("ref_id"), F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("version"), "text")
+    stamp = F.concat(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("id").cast("string"), 20, "0"))
+    chunks = table(spark, folder, "stored_chunks").select(F.col("chunk_id").alias("ref_id"), stamp.alias("version"), "text")
+    return {"source_documents": docs, "stored_chunks": chunks}
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The kinds of markup in every text of source_documents and stored_chunks."""
+    out = None
+    for origin, texts in _marked(spark, folder).items():
+        last = latest(markup.kinds(texts), ["ref_id"], ["version"])
+        rows = last.select(F.lit(origin).alias("origin"), "ref_id", F.explode("kinds").alias("markup"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean text of every text of source_documents and stored_chunks."""
+    out = None
+    for origin, texts in _marked(spark, folder).items():
+        rows = latest(markup.clean(texts), ["ref_id"], ["version"]).select(F.lit(origin).alias("origin"), "ref_id", "clean_text", "kinds")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return tokenizing.encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
