@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import leakage, markup, neighbours, repetition, splitting, tokenizing
+from rankloom.llm import leakage, markup, neighbours, pairs, repetition, splitting, tokenizing
 from rankloom.session import latest, table
 
 
@@ -28,6 +28,27 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.measure(table(spark, folder, "documents")).select("doc_id", "words", "repeated", "share")
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "evaluation_items").select(F.col("id").alias("pair_id"), "loaded_at", "question", F.col("reference_answer").alias("answer"), F.lit(None).cast("boolean").alias("truncated"))
+    said = table(spark, folder, "answer_responses").select(F.col("answer_id").cast("string").alias("pair_id"), "loaded_at", "question", "answer", "truncated")
+    both = items.withColumn("origin", F.lit("evaluation_items")).unionByName(said.withColumn("origin", F.lit("answer_responses")))
+    return latest(both, ["origin", "pair_id"], ["loaded_at"]).withColumn("pair_id", F.concat_ws(":", "origin", "pair_id"))
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.label(_pairs(spark, folder)).select(F.substring_index("pair_id", ":", 1).alias("origin"), F.expr("substr(pair_id, instr(pair_id, ':') + 1)").alias("pair_id"), "defect", "flagged")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every defective pair of evaluation_items and answer_responses with its defect."""
+    return _labelled(spark, folder).where("defect is not null").select("origin", "pair_id", "defect")
+
+
+def p1_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs by origin and defect, and how many of them carry the flag."""
+    return _labelled(spark, folder).groupBy("origin", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged"))
+
+
 TABLES = {"stored_chunks": "id", "graph_communities": "seq"}
 
 
@@ -86,5 +107,5 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p3_found": p3_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
