@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.plans import ingest_queries
+from rankloom.plans import ingest_queries, text_queries
 
-MODULES = [ingest_queries]
+MODULES = [ingest_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
