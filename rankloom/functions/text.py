@@ -38,13 +38,15 @@ def tokenize(c: Column) -> Column:
 
 def content_tokens(c: Column) -> Column:
     """Words of two characters or more that are no stop words."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(tokenize(c), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(tokenize(c), lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 
-def stem(w: Column) -> Column:
-    """A light stem: the possessive goes, then the first of -ies (to -y), -es, -s, -ing, -ed that the length allows."""
-    b = F.when(F.endswith(w, F.lit("'s")), F.left(w, F.length(w) - 2)).otherwise(w)
+def without_possessive(w: Column) -> Column:
+    return F.when(F.endswith(w, F.lit("'s")), F.left(w, F.length(w) - 2)).otherwise(w)
+
+
+def without_suffix(b: Column) -> Column:
+    """The first of -ies (to -y), -es, -s, -ing, -ed that the length allows is cut off."""
     n = F.length(b)
     cut = lambda k: F.left(b, n - k)
     ends = lambda s: F.endswith(b, F.lit(s))
@@ -58,9 +60,19 @@ def stem(w: Column) -> Column:
     )
 
 
+def stem(w: Column) -> Column:
+    """A light stem: the possessive goes, then one suffix."""
+    return without_suffix(without_possessive(w))
+
+
+def stem_all(words: Column) -> Column:
+    """The stems of an array of words; two passes, since a lambda evaluates each mention of an expression anew."""
+    return F.transform(F.transform(words, without_possessive), without_suffix)
+
+
 def stems(c: Column) -> Column:
     """The stems of the content words, in order."""
-    return F.transform(content_tokens(c), stem)
+    return stem_all(content_tokens(c))
 
 
 def normalize_for_match(c: Column) -> Column:
@@ -82,7 +94,7 @@ def at_word_boundary(text: Column, phrase: Column) -> Column:
 
 def stem_span(keyword_words: Column, text_words: Column) -> Column:
     """Distance between the outermost of the first places at which the words occur by stem; null if one doesn't."""
-    stemmed = F.transform(text_words, stem)
+    stemmed = stem_all(text_words)
     places = F.transform(keyword_words, lambda w: F.array_position(stemmed, stem(w)))
     return F.when(F.exists(places, lambda p: p == 0), F.lit(None)).otherwise(F.array_max(places) - F.array_min(places))
 
@@ -96,7 +108,7 @@ def keyword_in_normal(k: Column, h: Column) -> Column:
     """As keyword_present, for texts that are normalised already."""
     words, there = F.split(k, " "), F.split(h, " ")
     span = stem_span(words, there)
-    near = F.when(F.size(words) > 1, F.coalesce(span <= F.size(words) * 4, F.lit(False))).otherwise(F.array_contains(F.transform(there, stem), stem(k)))
+    near = F.when(F.size(words) > 1, F.coalesce(span <= F.size(words) * 4, F.lit(False))).otherwise(F.array_contains(stem_all(there), stem(k)))
     return F.when((k == "") | (h == ""), F.lit(False)).when(at_word_boundary(h, k), F.lit(True)).otherwise(near)
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.functions import text as T
-from rankloom.session import small_or_join
+from rankloom.session import cut, small_or_join
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -84,13 +84,16 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
 
 
 def terms(corpus: DataFrame) -> DataFrame:
-    """doc_id and the stems of each text; an empty or null text has none."""
-    return corpus.select("doc_id", F.coalesce(T.stems(F.col("text")), F.array().cast("array<string>")).alias("stems"))
+    """doc_id, the content words of each text and their number; an empty or null text has none."""
+    return corpus.select("doc_id", F.coalesce(T.content_tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).withColumn("length", F.size("words"))
 
 
-def postings(stemmed: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(term, doc_id, tf, length); with ``only`` (term), just of those terms, dropped before the shuffle where they are few."""
-    words = stemmed.select("doc_id", F.size("stems").alias("length"), F.explode("stems").alias("term"))
+def postings(counted: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf, length); with ``only`` (term), just of those terms, dropped before the shuffle where they are few.
+
+    Words are stemmed after they are exploded, where the engine compiles the expression.
+    """
+    words = counted.select("doc_id", "length", F.explode("words").alias("word")).select("doc_id", "length", T.stem(F.col("word")).alias("term"))
     if only is not None:
         words = words.join(small_or_join(only.select("term").distinct()), "term", "left_semi")
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
@@ -107,9 +110,9 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     hold is split by the engine's skew join. Scores are rounded to nine digits.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(T.stems(F.col("text")))).alias("term"))
-    stemmed = terms(corpus)
-    totals = stemmed.agg(F.count("*").alias("docs"), F.avg(F.size("stems")).alias("mean"))
-    posted = postings(stemmed, q)
+    counted = terms(corpus)
+    totals = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    posted = cut(postings(counted, q))
     frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
     weight = idf(F.col("docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     asked = q.join(frequency, "term")

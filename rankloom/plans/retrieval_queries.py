@@ -74,7 +74,7 @@ def bm25_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 def bm25_totals(spark: SparkSession, folder: str) -> DataFrame:
     """SCH-2: size and mean length of the index, the texts without a term included."""
-    return S.terms(_corpus(spark, folder)).agg(F.count("*").alias("docs"), F.round(F.avg(F.size("stems")), 6).alias("mean_length"))
+    return S.terms(_corpus(spark, folder)).agg(F.count("*").alias("docs"), F.round(F.avg("length"), 6).alias("mean_length"))
 
 
 def bm25_idf(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,9 +38,20 @@ def small_or_join(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Tables whose rows are dear to work on, so that idle cores cost more than moving them.
+DEAR = {"documents", "source_documents", "stored_chunks", "answer_responses", "evaluation_items"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are fewer than those; large inputs have more splits than cores and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the input tables, read by path."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One of the input tables, read by path; filters and columns still reach the scan."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in DEAR else df
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -53,4 +64,4 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in [*order, *rest]]).select(*df.columns)
 
 
-__all__ = ["BROADCAST_ROWS", "StorageLevel", "cut", "latest", "shared_dir", "small_or_join", "table"]
+__all__ = ["BROADCAST_ROWS", "StorageLevel", "cut", "latest", "shared_dir", "small_or_join", "spread", "table"]
