@@ -24,7 +24,7 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 WINDOW = 16
 #: A piece ends on average after so many bytes, and has at least MIN_PIECE.
-MEAN_PIECE = 512
+MEAN_PIECE = 1024
 MIN_PIECE = 64
 #: A cut is moved on to the next break of the word pattern, if one is that near; else the join is repaired.
 NEAR = 32
@@ -172,14 +172,17 @@ JOINED = "doc_id bigint, ids array<int>"
 def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for parts in pdf["parts"]:
+        for packed, starts, ends, extras in zip(pdf["packed"], pdf["starts"], pdf["ends"], pdf["extras"]):
+            if starts is None:
+                out.append(np.frombuffer(b"".join(packed), "<u2").astype(np.int32))
+                continue
             ids = []
-            for p in sorted(parts, key=lambda p: p["seq"]):
-                own = np.frombuffer(p["packed"], "<u2")
-                ids.append(own[p["drop_start"] : len(own) - p["drop_end"]])
-                if p["extra"] is not None:
-                    ids.append(p["extra"])
-            out.append(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
+            for p, start, end, extra in zip(packed, starts, ends, extras):
+                own = np.frombuffer(p, "<u2")
+                ids.append(own[start : len(own) - end])
+                if extra is not None:
+                    ids.append(np.asarray(extra))
+            out.append(np.concatenate(ids).astype(np.int32))
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": out})
 
 
@@ -195,5 +198,8 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: st
     pieces = texts.mapInPandas(_distinct_pieces(folder, vocabulary, mean), "key binary, piece binary")
     encoded = pieces.dropDuplicates(["key"]).mapInPandas(_encode(folder, vocabulary), "key binary, packed binary")
     uses = texts.mapInPandas(_uses(folder, vocabulary, mean), USES).join(encoded, "key")
-    parts = F.collect_set(F.struct("seq", "drop_start", "drop_end", "extra", "packed")).alias("parts")
-    return uses.groupBy("doc_id").agg(parts).mapInPandas(_assemble, JOINED)
+    parts = uses.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("seq", "drop_start", "drop_end", "extra", "packed"))).alias("p"))
+    repaired = F.exists("p", lambda x: (x["drop_start"] > 0) | (x["drop_end"] > 0) | x["extra"].isNotNull())
+    each = lambda name: F.transform("p", lambda x: x[name])
+    columns = [each("packed").alias("packed"), *[F.when(repaired, each(c)).alias(a) for c, a in (("drop_start", "starts"), ("drop_end", "ends"), ("extra", "extras"))]]
+    return parts.select("doc_id", *columns).mapInPandas(_assemble, JOINED)
