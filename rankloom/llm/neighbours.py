@@ -86,8 +86,9 @@ def _assign(centres: np.ndarray, planes: np.ndarray, dimensions: int):
             s = m @ centres.T
             near = np.argpartition(-s, spread - 1, axis=1)[:, :spread] if spread < len(centres) else np.tile(np.arange(len(centres)), (len(m), 1))
             rest = m[:, None, :] - centres[near]
-            bits = ((rest @ planes.T) > 0) @ (1 << np.arange(len(planes)))
-            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), spread), "vec": np.repeat(pdf["vec"].to_numpy(), spread), "cell": near.ravel(), "bits": bits.ravel()})
+            half = len(planes) // 2
+            bits = [((rest @ p.T) > 0) @ (1 << np.arange(half)) for p in (planes[:half], planes[half:])]
+            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), spread), "vec": np.repeat(pdf["vec"].to_numpy(), spread), "cell": near.ravel(), "bits": bits[0].ravel(), "more": bits[1].ravel()})
 
     return run
 
@@ -148,13 +149,15 @@ def top(edges: DataFrame, k: int) -> DataFrame:
 def start(vectors: DataFrame, total: int, k: int, dimensions: int) -> DataFrame:
     """The first graph: the k most similar among those of the same cells."""
     centres = fit_cells(vectors, total, dimensions)
-    planes = np.random.default_rng(11).standard_normal((24, dimensions)).astype(np.float32)
-    placed = vectors.mapInPandas(_assign(centres, planes, dimensions), "key bigint, vec binary, cell int, bits bigint")
+    planes = np.random.default_rng(11).standard_normal((48, dimensions)).astype(np.float32)
+    placed = vectors.mapInPandas(_assign(centres, planes, dimensions), "key bigint, vec binary, cell int, bits bigint, more bigint")
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))  # at most MAX_CELLS rows
     halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / MAX_CELL))).cast("int")
     mask = (F.pow(F.lit(2.0), F.least(halvings, F.lit(24))) - 1).cast("bigint")
-    part = (F.col("cell").cast("bigint") * (1 << 24) + F.col("bits").bitwiseAND(F.col("mask"))).alias("part")
-    cells = placed.join(F.broadcast(sizes.select("cell", mask.alias("mask"))), "cell").select("key", "vec", part)
+    base = F.col("cell").cast("bigint") * (1 << 25)
+    first, second = base + F.col("bits").bitwiseAND(F.col("mask")), base + (1 << 24) + F.col("more").bitwiseAND(F.col("mask"))
+    parts = F.when(F.col("mask") > 0, F.array(first, second)).otherwise(F.array(first))  # two ways to halve, so that neighbours parted by one meet in the other
+    cells = placed.join(F.broadcast(sizes.select("cell", mask.alias("mask"))), "cell").select("key", "vec", F.explode(parts).alias("part"))
     inside = cells.repartition("part").sortWithinPartitions("part").mapInPandas(_in_cells(k, dimensions), EDGES)
     return top(inside, k)
 
@@ -249,3 +252,54 @@ def most_similar(rows: DataFrame, k: int = K, dimensions: int = DIMENSIONS) -> D
 def pairs(found: DataFrame) -> DataFrame:
     """Each pair once, smaller key first."""
     return found.select(F.least("key", "other").alias("id_lo"), F.greatest("key", "other").alias("id_hi")).distinct()
+
+
+ENTRIES, WIDTH, STEPS = 512, 24, 6
+
+
+def _enter(keys: list[int], packed: list[bytes], best: int, dimensions: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, own = _matrix(packed, dimensions), np.asarray(keys)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            s = _matrix(pdf["vec"], dimensions) @ m.T
+            k = min(best, len(own))
+            top_ = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            yield pd.DataFrame({"query": np.repeat(pdf["query"].to_numpy(), k), "key": own[top_].ravel(), "sim": np.take_along_axis(s, top_, 1).ravel()})
+
+    return run
+
+
+def _compare(dimensions: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                s = (_matrix(pdf["vec"], dimensions) * _matrix(pdf["asked"], dimensions)).sum(1)
+                yield pd.DataFrame({"query": pdf["query"], "key": pdf["key"], "sim": s})
+
+    return run
+
+
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = K, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(query, key, sim, rank): the k nodes (key, vec) most similar to each query (query, vec), by greedy steps on the graph.
+
+    A query starts at the best of ENTRIES nodes (a bounded number, spread by hash), looks at the neighbours, either way, of the
+    WIDTH best nodes it knows and hasn't looked at, and goes on for STEPS steps or until nothing is new. All queries step together.
+    """
+    spark = nodes.sparkSession
+    doors = nodes.orderBy(F.xxhash64("key"), "key").limit(ENTRIES).toPandas()
+    schema = "query bigint, key bigint, sim float"
+    if not len(doors):
+        return spark.createDataFrame([], schema + ", rank int")
+    asked = queries.select("query", F.col("vec").alias("asked"))
+    both = cut(graph.select("key", "other").union(graph.select("other", "key")).distinct())
+    pool = queries.select("query", "vec").mapInPandas(_enter(doors["key"].tolist(), doors["vec"].tolist(), WIDTH // 2, dimensions), schema).withColumn("open", F.lit(True))
+    w = Window.partitionBy("query").orderBy(F.desc("sim"), "key")
+    for _ in range(STEPS):
+        pool = cut(pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= WIDTH).drop("rank"))
+        ahead = pool.where("open").select("query", "key").join(both, "key").select("query", F.col("other").alias("key")).distinct()
+        fresh = ahead.join(pool.select("query", "key"), ["query", "key"], "left_anti")
+        seen = fresh.join(nodes.select("key", "vec"), "key").join(asked, "query").select("query", "key", "vec", "asked").mapInPandas(_compare(dimensions), schema)
+        pool = pool.withColumn("open", F.lit(False)).unionByName(seen.withColumn("open", F.lit(True)))
+    return pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "key", "sim", "rank")
