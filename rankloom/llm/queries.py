@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.llm import leakage, markup, neighbours, pairs, repetition, splitting, tokenizing
-from rankloom.session import latest, table
+from rankloom.session import cut, latest, table
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +62,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def p3_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five communities most similar to each chunk whose id is divisible by 50, by greedy search on the graph of communities."""
+    chunks = neighbours.usable(table(spark, folder, "stored_chunks").where(F.col("id") % 50 == 0).select(F.col("id").alias("key"), "embedding"))
+    nodes = cut(neighbours.classes(neighbours.usable(table(spark, folder, "graph_communities").select(F.col("seq").alias("key"), "embedding"))).select("key", "vec"))
+    return neighbours.greedy_search(chunks.withColumnRenamed("key", "query"), nodes, neighbours.build(nodes))
+
+
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(spark, folder, "source_documents").select(F.col("id").alias("doc_id"), "loaded_at", "text"), ["doc_id"], ["loaded_at"]).select("doc_id", "text")
 
@@ -107,5 +114,5 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p3_found": p3_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p3_found": p3_found, "p3_search": p3_search, "p4_found": p4_found, "p4_chunks": p4_chunks, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
