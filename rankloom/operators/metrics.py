@@ -44,10 +44,11 @@ def evaluate(questions: DataFrame, hits: DataFrame, labels: DataFrame, k: int =
     j = questions.select("query_id").join(per, "query_id", "left").join(ideal(labels, k), "query_id", "left")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9)
     hits_ = F.coalesce("hits", F.lit(0))
+    ratio = F.try_divide(F.col("dcg"), F.col("ideal"))
     return j.select(
         "query_id",
         zero(F.col("rr")).alias("reciprocal_rank"),
-        zero(F.least(F.lit(1.0), F.try_divide(F.col("dcg"), F.col("ideal")))).alias("ndcg"),
+        zero(F.when(ratio.isNotNull(), F.least(F.lit(1.0), ratio))).alias("ndcg"),
         zero(F.try_divide(hits_, F.col("relevant_total"))).alias("recall"),
         zero(F.try_divide(hits_, F.col("returned"))).alias("precision"),
         F.when(hits_ > 0, 1.0).otherwise(0.0).alias("hit_rate"),

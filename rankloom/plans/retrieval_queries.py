@@ -283,7 +283,7 @@ SQL = {
     "retrieval_metrics": f"""with {_RESCUED}, {_QHITS}, g as (select qh.query_id, qh.rank, coalesce(grade, 0) as grade from qh left join resc on resc.item_id = qh.query_id and resc.doc_id = qh.doc_id), f as (select *, sum((grade >= 0.5)::int) over (partition by query_id order by rank) as f from g),
         per as (select query_id, min(rank) filter (grade >= 0.5) as first, sum((pow(2, grade) - 1) / log2(rank + 1)) filter (rank <= 5) as dcg, count(*) filter (rank <= 5 and grade >= 0.5) as h, count(*) filter (rank <= 5) as n, avg(f / rank) filter (rank <= 5 and grade >= 0.5) as ap from f group by 1),
         il as (select item_id as query_id, sum((pow(2, grade) - 1) / log2(place + 1)) filter (place <= 5) as ideal, count(*) filter (grade >= 0.5) as relevant_total from (select *, row_number() over (partition by item_id order by grade desc) as place from resc) group by 1)
-        select i.item_id as query_id, round(coalesce(1 / first, 0), 9) as reciprocal_rank, round(coalesce(least(1, dcg / nullif(ideal, 0)), 0), 9) as ndcg, round(coalesce(h / nullif(relevant_total, 0), 0), 9) as recall, round(coalesce(h / nullif(n, 0), 0), 9) as precision,
+        select i.item_id as query_id, round(coalesce(1 / first, 0), 9) as reciprocal_rank, round(case when dcg / nullif(ideal, 0) is null then 0 else least(1, dcg / ideal) end, 9) as ndcg, round(coalesce(h / nullif(relevant_total, 0), 0), 9) as recall, round(coalesce(h / nullif(n, 0), 0), 9) as precision,
         case when h > 0 then 1.0 else 0.0 end::double as hit_rate, round(coalesce(ap, 0), 9) as context_precision, coalesce(h, 0)::bigint as relevant_retrieved, coalesce(relevant_total, 0)::bigint as relevant_total from items i left join per on per.query_id = i.item_id left join il on il.query_id = i.item_id""",
     "context_coverage": f"""with {ITEMS}, {CHUNKS}, {_QHITS}, ctx as (select query_id as doc_id, string_agg(text, chr(10) order by rank) as text from qh join chunks using (doc_id) where rank <= 5 group by 1),
         {_KEYS.replace('from chunks)', 'from ctx)').replace('count(distinct nth) as hits', 'count(distinct keyword) as hits').replace('select item_id, nth, k, list', 'select item_id, keyword, nth, k, list').replace('(select item_id, nth, ' + _NORM('keyword'), '(select item_id, keyword, nth, ' + _NORM('keyword')).replace('from keys, prep where', 'from keys, prep where item_id = doc_id and')}
