@@ -128,6 +128,11 @@ def _last(text: Column, what: str) -> Column:
     return F.when(at == 0, F.lit(-1)).otherwise(F.length(text) - at + 1 - len(what))
 
 
+def embed_input(c: Column) -> Column:
+    """PRJ-8: what is sent to be embedded: a single blank for a null or blank text."""
+    return F.when(F.coalesce(trim_all(c), F.lit("")) == "", F.lit(" ")).otherwise(c)
+
+
 def trim_to_chars(c: Column, budget: int) -> Column:
     """The text cut to a budget at its last paragraph, sentence or line end if that keeps more than four fifths, else hard."""
     head = F.left(c, F.lit(budget))

@@ -136,6 +136,23 @@ def community_ranks(members: DataFrame, entities: DataFrame) -> DataFrame:
     return members.join(entities.select("entity", "degree"), "entity", "left").groupBy("community").agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("rank"), F.count("*").alias("size")).where("size >= 2")
 
 
+def community_prompts(members: DataFrame, entities: DataFrame, relationships: DataFrame, most: int = 30, first: int = 25, edges: int = 30) -> DataFrame:
+    """GRF-13: (community, rank, prompt) of the best ranked communities: their first members and the heaviest relationships inside.
+
+    members: community, nth, entity; relationships: source, target, weight.
+    """
+    best = community_ranks(members, entities).orderBy(F.desc("rank"), "community").limit(most)
+    inside = members.join(F.broadcast(best.select("community", "rank")), "community")
+    named = inside.where(F.col("nth") < first).groupBy("community", "rank").agg(F.sort_array(F.collect_list(F.struct("nth", "entity"))).alias("m"))
+    ends = inside.select("community", "entity")
+    links = ends.withColumnRenamed("entity", "source").join(relationships, "source").join(ends.withColumnRenamed("entity", "target"), ["community", "target"])
+    w = Window.partitionBy("community").orderBy(F.desc("weight"), "source", "target")
+    top_links = links.withColumn("place", F.row_number().over(w)).where(F.col("place") <= edges).groupBy("community").agg(F.sort_array(F.collect_list(F.struct("place", F.concat_ws(" - ", "source", "target").alias("line")))).alias("r"))
+    lines = lambda c, f: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x[f])), "\n")
+    prompt = F.concat(F.lit("Entities:\n"), lines("m", "entity"), F.lit("\nRelationships:\n"), F.coalesce(lines("r", "line"), F.lit("")))
+    return named.join(top_links, "community", "left").select("community", "rank", prompt.alias("prompt"))
+
+
 def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     """The modularity of a partition (node, community) of edges (source, target, weight), as one row."""
     w = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)

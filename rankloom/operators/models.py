@@ -37,7 +37,7 @@ def embed_text(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 def embed(rows: DataFrame, column: str = "text", dimensions: int = DIMENSIONS, into: str = "embedding") -> DataFrame:
-    """Rows with a vector of a text column, embedded in batches."""
+    """MDL-1: rows with a vector of a text column, embedded in batches."""
     names = rows.columns
     out = rows.withColumn(into, F.lit(None).cast("array<float>")).schema
 
@@ -68,7 +68,7 @@ class ModelError(Exception):
 
 
 def retried(call: Callable[[], object], settings: Settings | None = None) -> object:
-    """The reply of a call, tried again after growing waits while it fails in a way that may pass."""
+    """MDL-9: the reply of a call, tried again after growing waits while it fails in a way that may pass."""
     s = settings or Settings()
     for n in range(s.attempts):
         try:
@@ -81,7 +81,7 @@ def retried(call: Callable[[], object], settings: Settings | None = None) -> obj
 
 
 def is_reasoning(model: str) -> bool:
-    """Models that think before they answer take other settings."""
+    """MDL-10: models that think before they answer take other settings."""
     return re.match(r"gpt-5|o[134]", model) is not None
 
 
@@ -122,7 +122,7 @@ def ask(prompts: DataFrame, port: Callable[[dict], str], recorded: DataFrame | N
 
 
 def rewrite(question: Column) -> Column:
-    """A question as a search query: its content words; a rewrite of three characters or fewer isn't taken."""
+    """MDL-4: a question as a search query: its content words; a rewrite of three characters or fewer isn't taken."""
     q = F.array_join(T.content_tokens(question), " ")
     return F.when(F.length(q) > 3, q)
 
@@ -165,13 +165,13 @@ def normal_route(category: Column, k: Column) -> Column:
 
 
 def rerank_score(question: Column, text: Column) -> Column:
-    """0 to 10: the share of the question's stems that a passage holds."""
+    """MDL-5: 0 to 10: the share of the question's stems that a passage holds."""
     q = F.array_distinct(T.stems(question))
     return F.when(F.size(q) > 0, 10.0 * F.size(F.array_intersect(q, F.array_distinct(T.stems(text)))) / F.size(q)).otherwise(0.0)
 
 
 def answer(question: Column, context: Column) -> Column:
-    """The sentence of the context that shares most words with the question, the first of equal ones; empty without a context.
+    """MDL-2: the sentence of the context that shares most words with the question, the first of equal ones; empty without a context.
 
     The signature has no reference answer: it can't leak into an answer.
     """
@@ -187,7 +187,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def judge(question: Column, reply: Column, reference: Column, context: Column) -> Column:
-    """struct(faithfulness, factual_correctness, answer_relevance, verdict) by shared words; zeros and fail for an empty reply."""
+    """MDL-3: struct(faithfulness, factual_correctness, answer_relevance, verdict) by shared words; zeros and fail for an empty reply."""
     empty = T.trim_all(F.coalesce(reply, F.lit(""))) == ""
     faith, fact, rel = overlap(reply, context), overlap(reference, reply), overlap(question, reply)
     verdict = F.when(fact >= 0.75, "pass").when(fact >= 0.4, "partial").otherwise("fail")
@@ -196,11 +196,18 @@ def judge(question: Column, reply: Column, reference: Column, context: Column) -
 
 
 def summarize(title: Column, members: Column) -> Column:
-    """A community's summary: its first members by name."""
+    """MDL-7: a community's summary: its first members by name."""
     return F.concat(title, F.lit(": "), F.array_join(F.slice(members, 1, 25), ", "))
 
 
 def chunk_header(document: Column, chunk: Column) -> Column:
-    """A sentence on where a chunk stands: the first of the first 6 000 characters of its document; null if it has eight characters or fewer."""
+    """MDL-6: a sentence on where a chunk stands: the first of the first 6 000 characters of its document; null if it has eight characters or fewer."""
     first = F.regexp_replace(F.get(T.split_sentences(F.left(document, F.lit(6000))), F.lit(0)), f"[{T.WS}]+", " ")
     return F.when((F.length(first) > 8) & chunk.isNotNull(), first)
+
+
+def generated_question(text: Column) -> Column:
+    """MDL-8: struct(question, answer, keywords) on a chunk: its first sentence as the answer, its longest words as keywords."""
+    first = F.get(T.split_sentences(text), F.lit(0))
+    words = F.array_distinct(F.filter(T.content_tokens(first), lambda w: F.length(w) > 5))
+    return F.struct(F.concat(F.lit("What is said about "), F.array_join(F.slice(words, 1, 2), " and "), F.lit("?")).alias("question"), first.alias("answer"), F.slice(words, 1, 5).alias("keywords"))

@@ -16,7 +16,9 @@ from rankloom.operators import chunking as C, graph as G, labels as L, metrics a
 from rankloom.session import cut
 
 K, POOL = 5, 20
-STRATEGIES = ["baseline", "advanced", "advanced-pro", "graphrag"]
+#: STR-5: the strategies and the chunk profile of each.
+PROFILES = {"baseline": "fixed", "advanced": "structural", "advanced-pro": "contextual", "graphrag": "structural"}
+STRATEGIES = list(PROFILES)
 
 
 @dataclass
@@ -129,7 +131,7 @@ def run(items: DataFrame, search: Callable[[DataFrame], DataFrame], ix: Index, s
 
 
 def trace(steps: list[tuple[str, str, DataFrame]]) -> DataFrame:
-    """(query_id, nth, name, detail, candidates) of the steps of a search, each with its candidates."""
+    """STR-7: (query_id, nth, name, detail, candidates) of the steps of a search, each with its candidates."""
     out = None
     for nth, (name, detail, hits) in enumerate(steps):
         one = hits.groupBy("query_id").agg(F.count("*").alias("candidates")).select("query_id", F.lit(nth).alias("nth"), F.lit(name).alias("name"), F.lit(detail).alias("detail"), "candidates")
@@ -142,7 +144,7 @@ LIMITS = {"strategies": 3, "questions": 100, "generated": 40, "text": 200, "data
 
 
 def validated(strategies: list[str], questions: int, demo_corpus: bool, demo_questions: bool) -> list[str]:
-    """The strategies of a run, each once, or an error saying what is wrong with the request."""
+    """PRJ-16, PRJ-17: the strategies of a run, each once, or an error saying what is wrong with the request."""
     chosen = list(dict.fromkeys(strategies))
     unknown = [s for s in chosen if s not in STRATEGIES]
     if unknown:

@@ -23,7 +23,7 @@ def _path(root: str) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """id, title (the path under root), category (its first folder, else root) and text of all .md and .txt files, blank ones left out."""
+    """SRC-1: id, title (the path under root), category (its first folder, else root) and text of all .md and .txt files, blank ones left out."""
     full, prefix = _path(root)
     files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(full.alias("full"), F.col("value").alias("text"))
     title = F.regexp_replace("full", "^.*?" + prefix.replace("\\", "/").replace(".", "\\."), "")
@@ -48,7 +48,7 @@ def categories(documents: DataFrame) -> DataFrame:
 
 
 def gate(files: DataFrame) -> DataFrame:
-    """Files (name, bytes) with ``problem``: of a type that isn't taken, or too large; null if neither."""
+    """SRC-6: files (name, bytes) with ``problem``: of a type that isn't taken, or too large; null if neither."""
     ext = F.lower(F.regexp_extract("name", "\\.([^.]+)$", 1))
     return files.withColumn("problem", F.when(~ext.isin(EXTENSIONS), "unsupported type").when(F.col("bytes") > MAX_BYTES, "too large"))
 
@@ -75,7 +75,7 @@ def _extract_one(name: str, content: bytes) -> tuple[str | None, str | None]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """name, text and problem of files (name, content); text files as UTF-8, others by the readers that are installed."""
+    """SRC-3: name, text and problem of files (name, content); text files as UTF-8, others by the readers that are installed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,7 +93,7 @@ def _upload_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def uploaded(texts: DataFrame) -> DataFrame:
-    """Documents of uploads (title, text): cleaned, at most MAX_CHARS, with ``problem`` if too short and ``notice`` if trimmed."""
+    """SRC-4: documents of uploads (title, text): cleaned, at most MAX_CHARS, with ``problem`` if too short and ``notice`` if trimmed."""
     clean = texts.select("title", T.clean_extracted(F.coalesce("text", F.lit(""))).alias("clean"))
     cut = clean.select("title", T.trim_to_chars(F.col("clean"), MAX_CHARS).alias("text"), F.length("clean").alias("before"))
     short = F.length("text") < MIN_CHARS
@@ -102,5 +102,5 @@ def uploaded(texts: DataFrame) -> DataFrame:
 
 
 def pasted(spark: SparkSession, title: str, text: str) -> DataFrame:
-    """A text that was pasted, as an upload of a .txt file."""
+    """SRC-5: a text that was pasted, as an upload of a .txt file."""
     return uploaded(spark.createDataFrame([(f"{title}.txt", text)], "title string, text string"))

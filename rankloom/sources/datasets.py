@@ -61,14 +61,14 @@ def pick(m: Column, names: list[str]) -> Column:
 
 
 def sniff(c: Column) -> Column:
-    """The format of a file's text: json, jsonl or csv; jsonl where nothing else fits, null for a blank text."""
+    """SRC-7: the format of a file's text: json, jsonl or csv; jsonl where nothing else fits, null for a blank text."""
     t = T.trim_all(c)
     head = F.lower(F.split(t, "\n", 2)[0])
     return F.when(t == "", None).when(F.startswith(t, F.lit("[")), "json").when(F.startswith(t, F.lit("{")), "jsonl").when(F.contains(head, F.lit(",")) & F.contains(head, F.lit("question")), "csv").otherwise("jsonl")
 
 
 def csv_rows(text: str) -> list[list[str]]:
-    """Rows of a lenient CSV text: a quote may begin and end anywhere in a field, doubled ones stand for one, carriage returns are dropped."""
+    """SRC-10: rows of a lenient CSV text: a quote may begin and end anywhere in a field, doubled ones stand for one, carriage returns are dropped."""
     rows: list[list[str]] = []
     row: list[str] = []
     field = ""
@@ -91,7 +91,7 @@ def csv_rows(text: str) -> list[list[str]]:
 
 
 def _records(text: str, fmt: str) -> Iterator[tuple[int, dict | None, str | None]]:
-    """(line, record, why there is none) for each row of a file."""
+    """SRC-8, SRC-9, SRC-10: (line, record, why there is none) for each row of a file."""
     if fmt == "json":
         try:
             found = json.loads(text)
@@ -165,7 +165,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def accepted(rows: DataFrame, most: int = MAX_QUESTIONS) -> DataFrame:
-    """The usable rows of each file in order, at most ``most``: pos from 0, id q{n} where none is given, and whether there were more."""
+    """PRJ-2, PRJ-6: the usable rows of each file in order, at most ``most``: pos from 0, id q{n} where none is given, and whether there were more."""
     w = Window.partitionBy("path").orderBy("line")
     good = rows.where("reason is null").withColumn("pos", F.row_number().over(w) - 1).withColumn("truncated", F.count("*").over(Window.partitionBy("path")) > most)
     return good.where(F.col("pos") < most).withColumn("id", F.coalesce("id", F.concat(F.lit("q"), (F.col("pos") + 1).cast("string")))).drop("reason")
@@ -177,7 +177,7 @@ def skipped(rows: DataFrame) -> DataFrame:
 
 
 def read_shipped(spark: SparkSession, path: str) -> DataFrame:
-    """A question set with fixed names (question, reference_answer, keywords, category), one JSON object a line; id default-{line}."""
+    """SRC-11: a question set with fixed names (question, reference_answer, keywords, category), one JSON object a line; id default-{line}."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "value")).where(T.trim_all(F.col("value")) != "")
     row = F.from_json("value", "question string, reference_answer string, keywords array<string>, category string").alias("r")
     return lines.select((F.col("n") + 1).alias("line"), row).select(F.concat(F.lit("default-"), F.col("line").cast("string")).alias("id"), (F.col("line") - 1).alias("pos"), "r.question", "r.reference_answer", F.col("r.keywords").alias("expected_keywords"), question_type(F.col("r.category")).alias("question_type"))
@@ -197,7 +197,7 @@ def stratified(items: DataFrame, n: int) -> DataFrame:
 
 
 def generated(raw: DataFrame, n: int) -> DataFrame:
-    """Generated questions (seq, question, answer, keywords, source) fit for use: not blank, each once, with one to five keywords of two characters or more; id gen-{n}."""
+    """PRJ-11: generated questions (seq, question, answer, keywords, source) fit for use: not blank, each once, with one to five keywords of two characters or more; id gen-{n}."""
     kept = F.slice(F.filter(F.transform("keywords", T.trim_all), lambda k: F.length(k) > 1), 1, 5)
     fit = raw.where((T.trim_all(F.col("question")) != "") & (T.trim_all(F.col("answer")) != "")).withColumn("keywords", kept).where(F.size("keywords") > 0)
     key = F.regexp_replace(F.lower(T.trim_all(F.col("question"))), f"[{T.WS}]+", " ")

@@ -16,7 +16,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_chunks(spark: SparkSession, path: str, strategy: str) -> DataFrame:
-    """The chunks of a strategy, by document and place; only its partition is read."""
+    """SRC-12: the chunks of a strategy, by document and place; only its partition is read."""
     return spark.read.parquet(path).where(F.col("strategy") == strategy).orderBy("doc_id", "ordinal")
 
 
@@ -35,7 +35,7 @@ def merged(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def upsert_chunks(path: str, fresh: DataFrame) -> None:
-    """Writes chunks, replacing only the partitions of the strategies they belong to.
+    """SNK-1: writes chunks, replacing only the partitions of the strategies they belong to.
 
     The merged rows are written beside the table first and moved in by a second write, since Spark can't overwrite what it reads.
     """
@@ -49,24 +49,25 @@ def upsert_chunks(path: str, fresh: DataFrame) -> None:
 
 
 def clear(spark: SparkSession, path: str, strategy: str | None = None) -> None:
-    """Removes the rows of a strategy, or all."""
+    """SNK-2: removes the rows of a strategy, or all."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path if strategy is None else f"{path}/strategy={strategy}")
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_one(path: str, rows: DataFrame) -> None:
-    """Replaces a small table: a manifest, a graph's counts."""
+    """SNK-3: replaces a small table: a manifest, a graph's counts."""
     rows.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def write_graph(path: str, entities: DataFrame, relationships: DataFrame, communities: DataFrame) -> None:
-    """A graph as three tables."""
+    """GRF-14: a graph as three tables. No index on vectors is kept (SNK-6): search is exact."""
     for name, rows in (("entities", entities), ("relationships", relationships), ("communities", communities)):
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, ...]:
+    """SRC-13: the three tables of a graph."""
     return tuple(spark.read.parquet(f"{path}/{name}") for name in ("entities", "relationships", "communities"))
 
 
@@ -91,7 +92,7 @@ def missing(chunks: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def seed(spark: SparkSession, path: str, strategies: dict[str, Callable[[], DataFrame]], reset: bool = False, only: str | None = None) -> list[str]:
-    """Writes the chunks of each strategy that has none yet (all on reset, one with ``only``); gives the names written."""
+    """SNK-4: writes the chunks of each strategy that has none yet (all on reset, one with ``only``); gives the names written."""
     have = {r.strategy for r in coverage(spark.read.parquet(path)).collect()} if exists(spark, path) else set()
     done = []
     for name, build in strategies.items():
@@ -108,7 +109,7 @@ def checksum(c):
 
 
 def migration_states(files: DataFrame, applied: DataFrame) -> DataFrame:
-    """(version, state) of scripts (version, sql) against those applied (version, checksum): applied, pending, modified or missing."""
+    """SNK-5: (version, state) of scripts (version, sql) against those applied (version, checksum): applied, pending, modified or missing."""
     j = files.select("version", checksum(F.col("sql")).alias("now")).join(applied.select("version", F.col("checksum").alias("then")), "version", "full_outer")
     state = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "pending").when(F.col("now") == F.col("then"), "applied").otherwise("modified")
     return j.select("version", state.alias("state"))

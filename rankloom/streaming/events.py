@@ -32,7 +32,7 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def heartbeat(spark: SparkSession, seconds: int = 15) -> DataFrame:
-    """A ping every so many seconds."""
+    """STM-2: a ping every so many seconds."""
     beats = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return beats.where(F.col("value") % seconds == 0).select(F.lit("ping").alias("event_type"), F.col("timestamp").alias("ts"))
 
@@ -72,7 +72,7 @@ def latest(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def progress(events: DataFrame, key: str) -> DataFrame:
-    """Running figures of each key: events so far, sum and mean of their values."""
+    """STM-5, MTH-8: running figures of each key, the mean null without values: events so far, sum and mean of their values."""
     return events.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
 
 
@@ -152,7 +152,7 @@ def quota_stream(events: DataFrame, limit: int) -> DataFrame:
 
 
 class Cancellation:
-    """A flag that runs look at between strategies and questions; stopping cancels the jobs of the run's group."""
+    """STM-9: a flag that runs look at between strategies and questions; stopping cancels the jobs of the run's group."""
 
     def __init__(self, spark: SparkSession, run_id: str):
         self.spark, self.run_id, self.stopped = spark, run_id, False
