@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.text import WS
 from rankloom.operators import graph as G, search as S
-from rankloom.plans.retrieval_queries import chunks, items
+from rankloom.plans.retrieval_queries import _bm25_sql, chunks, items
 from rankloom.session import table
 
 
@@ -216,6 +216,7 @@ SQL = {
     "entity_matches": f"with {_MEM}, {_Q10}, {_MATCH} select query_id, entity, score, rank from anchors",
     "entity_units": f"with {_MEM}, {_CHUNKS}, {_MENTIONED} select entity, n from mc",
     "graph_local": f"with {_MEM}, {_Q10}, {_MATCH}, {_CHUNKS}, {_MENTIONED}, {_LOCAL} select query_id, doc_id, score, rank from lr",
+    "graph_fallback": f"with {_MEM}, {_Q10}, {_MATCH}, {_CHUNKS}, {_MENTIONED}, {_LOCAL}, {_bm25_sql('gb', '(select unit as doc_id, text from chunks)', '(select query_id, question as text from q)', 5, '_g')}, l5 as (select query_id from lr where rank <= 5), u as (select query_id from l5 union all select query_id from gb where query_id not in (select query_id from l5)) select query_id, count(*) as n from u group by 1",
     "community_selection": """with c as (select seq, embedding as e from graph_communities where len(embedding) = 64 and len(list_filter(embedding, lambda x: isnan(x) or abs(x) > 1e30)) = 0), s as (select a.seq as query_id, b.seq as doc_id, round(list_sum(list_transform(range(1, 65), lambda i: a.e[i]::double * b.e[i]::double)), 9) as score
         from c a join c b on a.seq % 50 = 0 and a.seq <> b.seq) select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from s qualify row_number() over (partition by query_id order by score desc, doc_id) <= 6""",
     "graph_global": f"with {_MEM}, p as (select distinct length(community) % 5 as query_id, community, length(community) * 37 % 101 - 40 as score from mem) select query_id::int as query_id, entity, round(sum(score / 100), 9) as weight from p join mem using (community) where score > 0 group by 1, 2",

@@ -108,5 +108,6 @@ SQL = {
     "embed_inputs": f"select doc_id, t = ' ' as blank, length(t)::int as n from (select doc_id, case when coalesce(regexp_replace(text, '[{WS}]', '', 'g'), '') = '' then ' ' else text end as t from documents)",
     "gains": "select event_id, round((pow(2, least(1, greatest(0, event_id % 13 / 10 - 0.1))) - 1) / log2(event_id % 20 + 2), 6) as worth from events",
     "explorer_sorted": f"with {RESULTS} select pos, latency_ms, row from (select pos, latency_ms, row_number() over (order by latency_ms desc nulls last, pos)::int as row from r) where row between 51 and 75",
+    "axis_ticks": "with t as (select event_type, max(value) / 4 as rough from events group by 1), s as (select *, pow(10, floor(log10(rough)) + 1) as size, if(floor(log10(rough)) = 0, 0.1, 0.05)::double as unit from t) select event_type, list_transform(range(0, 5), lambda i: round(i * ceil(round(rough / size / unit, 9)) * unit * size, 9)) as ticks from s",
     "community_summaries": "select id, md5(coalesce(title, '') || ': ' || array_to_string(entity_ids[1:25], ', ')) as md5 from graph_communities",
 }

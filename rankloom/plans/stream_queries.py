@@ -80,7 +80,13 @@ QUERIES = {f.__name__: f for f in (event_latest, replay_dedupe, running_progress
 
 _PROGRESS = "select event_type, count(*) as n, round(sum(value), 6) as total, round(avg(value), 6) as mean from events group by 1"
 _DEDUPED = "select event_type, count(distinct event_id) as n from events group by 1"
+_QUOTA = """with recursive e as (select event_id, user_id as key, epoch_ms(ts) as ms, event_type = 'error' as refund, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+    r as (select event_id, key, rn, ms as started, if(refund, 0, 1) as used, true as allowed from e where rn = 1 union all
+    select event_id, key, rn, if(over, ms, started), case when refund then greatest(0, c - 1) when c >= 3 then c else c + 1 end, refund or c < 3 from (select e.*, r.started, e.ms - r.started >= 86400000 as over, if(e.ms - r.started >= 86400000, 0, r.used) as c from r join e on e.key = r.key and e.rn = r.rn + 1))
+    select event_id, used::int as used, allowed from r"""
 SQL = {
+    "quota_windows": _QUOTA,
+    "stream_quota": _QUOTA,
     "event_latest": "select user_id, event_type, event_id, round(value, 6) as value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
     "replay_dedupe": _DEDUPED,
     "running_progress": _PROGRESS,
