@@ -28,7 +28,7 @@ def keyword_hits(items: DataFrame, chunks: DataFrame) -> DataFrame:
     tokens = lambda c: F.concat(
         F.transform(_pieces(c), lambda w: F.concat(F.lit("p:"), w)), F.transform(F.split(c, " "), lambda w: F.concat(F.lit("s:"), T.stem(w))))
     wanted = keys.select("k").distinct().select("k", F.explode(F.array_distinct(tokens(F.col("k")))).alias("token"))
-    there = prepared.select("doc_id", F.explode(F.array_distinct(tokens(F.col("h")))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    there = prepared.select("doc_id", F.explode_outer(F.array_distinct(tokens(F.col("h")))).alias("token")).where("token is not null").join(wanted.select("token").distinct(), "token", "left_semi")
     counts = there.groupBy("token").agg(F.count("*").alias("df"))
     known = wanted.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("kind", F.left("token", F.lit(2)))
     rarest = known.groupBy("k", "kind").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.min("df").alias("df")).where("df > 0")
@@ -41,7 +41,7 @@ def answer_share(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """(item_id, doc_id, share): the share of the stems of an item's answer that a chunk holds, where it holds any."""
     asked = items.select("item_id", F.array_distinct(T.stems(F.col("answer"))).alias("s")).where(F.size("s") > 0)
     words = asked.select("item_id", F.size("s").alias("n"), F.explode("s").alias("stem"))
-    there = chunks.select("doc_id", F.explode(F.array_distinct(T.stems(F.col("text")))).alias("stem")).join(words.select("stem").distinct(), "stem", "left_semi")
+    there = chunks.select("doc_id", F.explode_outer(F.array_distinct(T.stems(F.col("text")))).alias("stem")).where("stem is not null").join(words.select("stem").distinct(), "stem", "left_semi")
     return words.join(there, "stem").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("share"))
 
 

@@ -93,7 +93,8 @@ def postings(counted: DataFrame, only: DataFrame | None = None) -> DataFrame:
 
     Words are stemmed after they are exploded, where the engine compiles the expression.
     """
-    words = counted.select("doc_id", "length", F.explode("words").alias("word")).select("doc_id", "length", T.stem(F.col("word")).alias("term"))
+    # Outer, since a plain explode has the array computed twice: once more, before any exchange, to filter out empty ones.
+    words = counted.select("doc_id", "length", F.explode_outer("words").alias("word")).where("word is not null").select("doc_id", "length", T.stem(F.col("word")).alias("term"))
     if only is not None:
         words = words.join(small_or_join(only.select("term").distinct()), "term", "left_semi")
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))

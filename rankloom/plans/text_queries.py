@@ -41,7 +41,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def stem_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-4: how often each stem occurs in the corpus."""
-    return _docs(spark, folder).select(F.explode(T.stems(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    return _docs(spark, folder).select(F.explode_outer(T.content_tokens(F.col("text"))).alias("word")).where("word is not null").groupBy(T.stem(F.col("word")).alias("stem")).agg(F.count("*").alias("n"))
 
 
 def normalized_lengths(spark: SparkSession, folder: str) -> DataFrame:
