@@ -115,4 +115,10 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p3_found": p3_found, "p3_search": p3_search, "p4_found": p4_found, "p4_chunks": p4_chunks, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_shares": p8_shares}
-SQL: dict[str, str] = {}
+_REPEATED = """w as (select doc_id, coalesce(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), []) as w from documents), g as (select doc_id, i, array_to_string(w[i:i + 5], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 4)) as i from w where len(w) >= 6)),
+    r as (select distinct doc_id, i + k as p from (select doc_id, i, min(i) over (partition by doc_id, g) as first from g), range(0, 6) t(k) where first < i), n as (select doc_id, count(*) as n from r group by 1),
+    s as (select w.doc_id, len(w)::int as words, coalesce(n, 0)::int as repeated from w left join n on n.doc_id = w.doc_id)"""
+SQL: dict[str, str] = {
+    "p8_found": f"with {_REPEATED} select doc_id from s where words >= 20 and repeated >= 0.25 * words",
+    "p8_shares": f"with {_REPEATED} select doc_id, words, repeated, repeated / greatest(words, 1) as share from s",
+}
