@@ -198,7 +198,7 @@ def improve(vectors: DataFrame, graph: DataFrame, fresh: DataFrame | None, k: in
     both = both.groupBy("centre", "key").agg(F.max("fresh").alias("fresh"))
     crowd = both.groupBy("centre").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).where("any")
     groups = F.ceil(F.col("n") / HUB)
-    both = both.join(crowd, "centre").select((F.col("centre") * 4096 + F.pmod(F.xxhash64("key"), F.least(groups, F.lit(4096)))).alias("centre"), "key", "fresh")
+    both = both.join(crowd, "centre").select(F.xxhash64("centre", F.pmod(F.xxhash64("key"), groups)).alias("centre"), "key", "fresh")
     listed = graph.groupBy("key").agg(F.min("sim").alias("low"), F.count("*").alias("n"), F.sort_array(F.collect_list("other")).alias("o"))
     packed = F.concat(*[F.to_binary(F.lpad(F.hex(F.coalesce(F.get("o", F.lit(i)), F.lit(0))), 16, "0"), F.lit("hex")) for i in range(k)])
     known = listed.select("key", F.when(F.col("n") < k, F.lit(-2.0)).otherwise(F.col("low")).cast("float").alias("worst"), packed.alias("near"))

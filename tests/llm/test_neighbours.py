@@ -37,6 +37,13 @@ def test_equal_scaled_and_unusable_vectors(spark):
     assert got[9] == {1, 2, 3, 4, 5} and got[1] == {2, 3, 4, 5, 7} and got[20] == {1, 2, 3, 4, 5}
 
 
+def test_keys_of_any_size(spark):
+    m = rng.standard_normal((30, 64))
+    ids = [-(2**62) + i * 2**57 for i in range(30)]
+    got = {(r.key, r.other) for r in N.most_similar(_frame(spark, ids, m)).collect()}
+    assert got == _brute(ids, m, 5)
+
+
 def test_few_and_none(spark):
     assert N.most_similar(_frame(spark, [], [])).collect() == []
     assert N.most_similar(_frame(spark, [1], [np.ones(64)])).collect() == []
