@@ -87,6 +87,9 @@ def readings(text: str | None) -> list[list[str]]:
     return [_WORD.findall(t)] + ([_WORD.findall(bare)] if len(bare) < len(t) else [])
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _bits(word: str) -> np.ndarray:
     return np.unpackbits(np.frombuffer(xxhash.xxh3_64_digest(word), np.uint8)).astype(np.float32) * 2 - 1
 
@@ -102,8 +105,6 @@ class Index:
     def __post_init__(self) -> None:
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in self.texts for w in t}))}
         self.size = len(self.vocabulary) + 1
-        if self.size >= 2**15:
-            raise ValueError("too many different words for one pass; lower items_a_pass")
         self.words = [np.array([self.vocabulary[w] for w in t], np.int64) for t in self.texts]
         spread = np.zeros(self.size)
         for w in self.words:
@@ -115,13 +116,15 @@ class Index:
         self.signs = np.stack([_bits(w) for w in names]) * self.weights[:, None]
         self.signs[-1] = 0
         self.prints = np.stack([self.signs[w].sum(0) > 0 for w in self.words]) if self.words else np.zeros((0, 64), bool)
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        self.offset = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
         keys, item, at = [], [], []
         for i, w in enumerate(self.words):
             k = self.blocks(w)
             keys.append(k)
             item.append(np.full(len(k), i))
             at.append(np.arange(len(k)))
-        keys, item, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, item, at))
+        keys, item, at = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (item, np.int64), (at, np.int64)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.at = keys[order], item[order], at[order]
         self.known = np.unique(self.keys)
@@ -129,10 +132,10 @@ class Index:
     def blocks(self, w: np.ndarray) -> np.ndarray:
         n = len(w) - BLOCK + 1
         if n <= 0:
-            return np.zeros(0, np.int64)
-        key = np.zeros(n, np.int64)
+            return np.zeros(0, np.uint64)
+        key = np.zeros(n, np.uint64)
         for j in range(BLOCK):
-            key = key * self.size + w[j : j + n]
+            key = (key ^ (w[j : j + n] + 1).astype(np.uint64)) * _MIX
         return key
 
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +152,12 @@ class Index:
         first, last = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
         counts = last - first
         where = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.repeat(places, counts), self.item[where], self.at[where]
+        place, item, at = np.repeat(places, counts), self.item[where], self.at[where]
+        start = self.offset[item] + at
+        same = np.ones(len(place), bool)
+        for j in range(BLOCK):  # equal keys of different words drop out
+            same &= w[place + j] == self.flat[start + j]
+        return place[same], item[same], at[same]
 
 
 def in_order(item: np.ndarray, passage: np.ndarray) -> int:
