@@ -190,7 +190,7 @@ SQL = {
         case when b >= 1048576 then printf('%.1f MB', b / 1048576) when b >= 1024 then printf('%.0f KB', b / 1024) else printf('%d B', b::bigint) end as bytes from (select event_id, round(value * 500) * 10 + 3 as t, round(value * 100) * 10 + 3 as d, round(value * 2000) * 10 + 3 as b from events)""",
     "keyword_matches": f"""with i as (select id, keyword, {_NORMAL('keyword')} as k, {_NORMAL('reference_answer')} as h from (select id, reference_answer, unnest(expected_keywords) as keyword from evaluation_items where reference_answer is not null)),
         w as (select *, list_transform(string_split(k, ' '), lambda x: {sql_stem('x')}) as kw, list_transform(string_split(h, ' '), lambda x: {sql_stem('x')}) as hs from i)
-        select distinct id, keyword, case when k = '' or h = '' then false when regexp_matches(h, '(^|[^\p{{L}}\p{{N}}])' || regexp_escape(k) || '($|[^\p{{L}}\p{{N}}])') then true when len(kw) = 1 then list_contains(hs, kw[1])
+        select distinct id, keyword, case when k = '' or h = '' then false when regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(k) || '($|[^\\p{{L}}\\p{{N}}])') then true when len(kw) = 1 then list_contains(hs, kw[1])
         else len(list_filter(kw, lambda x: not list_contains(hs, x))) = 0 and list_max(list_transform(kw, lambda x: list_position(hs, x))) - list_min(list_transform(kw, lambda x: list_position(hs, x))) <= 4 * len(kw) end as present from w""",
     "l2_normalized": "select vec_id, round(sqrt(list_sum(list_transform(s, lambda x: x::double * x::double))), 4) as before, round(sqrt(list_sum(list_transform(s, lambda x: x::double * x::double))) / sqrt(list_sum(list_transform(s, lambda x: x::double * x::double))), 4) as after from (select vec_id, list_transform(embedding, lambda x: (x * 3::float)::float) as s from embeddings)",
     "neighbour_cosines": f"""with p as (select a.vec_id, a.embedding as a, b.embedding as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1), d as (select vec_id, {_DOT.format(a='a', b='b')} as d, sqrt({_DOT.format(a='a', b='a')}) * sqrt({_DOT.format(a='b', b='b')}) as n from p)
