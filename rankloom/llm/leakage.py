@@ -3,9 +3,10 @@
 A document leaks an item if it holds RUN consecutive words of it, or SHARE of its words in their order within one
 passage. Words are compared after undoing case, accents, punctuation, spacing, line marks, markup and escapes.
 
-Candidates: an edited passage that keeps four fifths of an item keeps BLOCK consecutive words (at most a fifth of the
-words are changed, so the kept ones fall into few runs). The blocks of all items are an index; every hit places an
-item-sized window on the document, whose SimHash must lie within RADIUS of the item's. Survivors are verified exactly.
+Candidates for runs are shared blocks of BLOCK consecutive words. Candidates for passages are counted: a passage that lacks
+at most n - need of the n words of an item holds at least k of its n - need + k rarest ones, whatever is replaced, deleted
+or put in between. The documents are cut into overlapping stretches, each passage lies in one, and where a stretch holds
+fewer of the rare words than that, no passage is lost by leaving it out. All others are verified exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from rankloom.llm.batches import slices
@@ -28,7 +28,8 @@ SHARE = 0.8
 #: A passage has at most this many words for each word of the item.
 PASSAGE = 1.5
 BLOCK = 4
-RADIUS = 28
+#: Scores held at a time (stretches by items).
+SCORES = 1_000_000
 #: Items are searched in blocks of so many, each with a pass over the corpus: what a task holds doesn't grow with the items.
 ITEMS_A_PASS = 5_000
 
@@ -90,13 +91,21 @@ def readings(text: str | None) -> list[list[str]]:
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _bits(word: str) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(xxhash.xxh3_64_digest(word), np.uint8)).astype(np.float32) * 2 - 1
+@dataclass
+class _Level:
+    """Items of about one length: the longest passage, the rare words each must show, and postings of those by word."""
+
+    length: int
+    items: np.ndarray
+    least: np.ndarray
+    starts: np.ndarray
+    item: np.ndarray
+    times: np.ndarray
 
 
 @dataclass
 class Index:
-    """The items of one pass: vocabulary, blocks, fingerprints."""
+    """The items of one pass: vocabulary, blocks, rare words."""
 
     ids: list
     texts: list[list[str]]
@@ -109,13 +118,6 @@ class Index:
         spread = np.zeros(self.size)
         for w in self.words:
             spread[np.unique(w)] += 1
-        #: Rare words weigh more, words no item has weigh little.
-        self.weights = (1 + np.log(len(self.texts) / np.maximum(spread, 1))).astype(np.float32)
-        self.weights[-1] = 1.0
-        names = [*sorted(self.vocabulary, key=self.vocabulary.get), "?"]
-        self.signs = np.stack([_bits(w) for w in names]) * self.weights[:, None]
-        self.signs[-1] = 0
-        self.prints = np.stack([self.signs[w].sum(0) > 0 for w in self.words]) if self.words else np.zeros((0, 64), bool)
         self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
         self.offset = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
         keys, item, at = [], [], []
@@ -128,6 +130,57 @@ class Index:
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.at = keys[order], item[order], at[order]
         self.known = np.unique(self.keys)
+        self.need = [-(-len(w) * 4 // 5) for w in self.words]
+        self.reach = [int(len(w) * PASSAGE) for w in self.words]
+        levels: dict[int, list[int]] = {}
+        for i, w in enumerate(self.words):
+            if len(w) >= BLOCK:
+                levels.setdefault(1 << (self.reach[i] - 1).bit_length(), []).append(i)
+        self.levels = [self.rare(length, members, spread) for length, members in sorted(levels.items())]
+
+    def rare(self, length: int, members: list[int], spread: np.ndarray) -> _Level:
+        """The rarest words of items whose passages have at most ``length`` words, by word."""
+        least, pieces = [], []
+        for local, i in enumerate(members):
+            w = self.words[i]
+            least.append(max(1, len(w) // 5))
+            word, times = np.unique(w[np.lexsort((w, spread[w]))][: len(w) - self.need[i] + least[-1]], return_counts=True)
+            pieces.append(np.stack([word, np.full(len(word), local), times]))
+        table = np.concatenate(pieces, 1)
+        word, item, times = table[:, np.argsort(table[0], kind="stable")]
+        return _Level(length, np.array(members), np.array(least), np.searchsorted(word, np.arange(self.size + 1)), item, times)
+
+    def stretches(self, docs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """For every document (item, from, to) of the stretches that may hold a passage of the item."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in docs]
+        sizes = np.array([len(w) for w in docs], np.int64)
+        if not sizes.sum():
+            return out
+        word = np.concatenate(docs)
+        doc = np.repeat(np.arange(len(docs)), sizes)
+        at = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        for level in self.levels:
+            number = np.maximum(1, -(-sizes // level.length) - 1)
+            first = np.cumsum(number) - number
+            counts = np.diff(level.starts)
+            some = counts[word] > 0
+            part, of, which = at[some] // level.length, doc[some], word[some]
+            own, before = part < number[of], part > 0  # a stretch is two parts long and begins with each part
+            keys = np.unique(np.concatenate([(first[of] + part)[own] * self.size + which[own], (first[of] + part - 1)[before] * self.size + which[before]]))
+            stretch, which = keys // self.size, keys % self.size
+            width = len(level.items)
+            step = max(1, SCORES // width)
+            for low in range(0, int(number.sum()), step):
+                a, b = np.searchsorted(stretch, [low, low + step])
+                times = counts[which[a:b]]
+                where = np.repeat(level.starts[which[a:b]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                score = np.bincount((np.repeat(stretch[a:b], times) - low) * width + level.item[where], level.times[where])
+                for k in np.flatnonzero(score >= np.tile(level.least, -(-len(score) // width))[: len(score)]).tolist():
+                    n = low + k // width
+                    d = int(np.searchsorted(first, n, "right")) - 1
+                    begin = (n - int(first[d])) * level.length
+                    out[d].append((int(level.items[k % width]), begin, begin + 2 * level.length))
+        return out
 
     def blocks(self, w: np.ndarray) -> np.ndarray:
         n = len(w) - BLOCK + 1
@@ -175,49 +228,38 @@ def in_order(item: np.ndarray, passage: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
-def leaks(w: np.ndarray, index: Index) -> list[tuple[int, str, int]]:
-    """(item, kind, words found) for one document given as vocabulary numbers."""
-    place, item, at = index.hits(w)
-    if not len(place):
-        return []
+def passage(item: np.ndarray, w: np.ndarray, need: int, reach: int) -> int:
+    """Words of the item in their order within ``reach`` words of w, or fewer than ``need`` if no place has as many."""
+    inside = np.concatenate([[0], np.cumsum(np.isin(w, item))])
+    if inside[-1] < need:
+        return 0
+    enough = inside[np.minimum(np.arange(len(w)) + reach, len(w))] - inside[:-1] >= need
+    best = 0
+    for s in np.flatnonzero(enough & np.isin(w, item[: len(item) - need + 1])).tolist():
+        best = max(best, in_order(item, w[s : s + reach]))
+        if best >= need:
+            break
+    return best
+
+
+def leaks(w: np.ndarray, index: Index, stretches: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
+    """(item, kind, words found) for one document given as vocabulary numbers, with its stretches."""
     out = []
-    order = np.lexsort((place, place - at, item))
-    place, item, at = place[order], item[order], at[order]
-    diagonal = place - at
-    start = np.ones(len(place), bool)
-    start[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)
-    runs = np.flatnonzero(start)
-    lengths = np.diff([*runs, len(place)]) + BLOCK - 1
     done = set()
-    for i in np.unique(item[runs[lengths >= RUN]]).tolist():
-        done.add(i)
-        out.append((i, "run", int(lengths[item[runs] == i].max())))
-    sums = None
-    known = set()
-    for r in runs.tolist():
-        i, d = int(item[r]), int(diagonal[r])
-        n = len(index.words[i])
-        if i in done or (i, d) in known:
-            continue
-        known.add((i, d))
-        a, b = max(0, d), min(len(w), d + n)
-        if sums is None:
-            sums = np.concatenate([np.zeros((1, 64), np.float32), np.cumsum(index.signs[w], 0, dtype=np.float32)])
-        if int(((sums[b] - sums[a] > 0) != index.prints[i]).sum()) > RADIUS:
-            continue
-        need, reach = -(-n * 4 // 5), int(n * PASSAGE)
-        low, high = max(0, d - reach), min(len(w), d + n + reach)
-        inside = np.isin(w[low:high], index.words[i])
-        if inside.sum() < need:
-            continue
-        best = 0
-        heads = set(index.words[i][: n - need + 1].tolist())
-        for s in (low + np.flatnonzero(inside)).tolist():
-            if int(w[s]) in heads and inside[s - low : s - low + reach].sum() >= need:
-                best = max(best, in_order(index.words[i], w[s : s + reach]))
-                if best >= need:
-                    break
-        if best >= need:
+    place, item, at = index.hits(w)
+    if len(place):
+        order = np.lexsort((place, place - at, item))
+        place, item, at = place[order], item[order], at[order]
+        diagonal = place - at
+        start = np.ones(len(place), bool)
+        start[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)
+        runs = np.flatnonzero(start)
+        lengths = np.diff([*runs, len(place)]) + BLOCK - 1
+        for i in np.unique(item[runs[lengths >= RUN]]).tolist():
+            done.add(i)
+            out.append((i, "run", int(lengths[item[runs] == i].max())))
+    for i, a, b in stretches:
+        if i not in done and (best := passage(index.words[i], w[a:b], index.need[i], index.reach[i])) >= index.need[i]:
             done.add(i)
             out.append((i, "passage", best))
     return out
@@ -231,13 +273,13 @@ def _search(items: list[tuple[int, list[str]]]):
         index = Index([i for i, _ in items], [t for _, t in items])
         lookup, none = index.vocabulary.get, index.size - 1
         for pdf in slices(batches):
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                best: dict[int, tuple[str, int]] = {}
-                for reading in readings(text):
-                    for i, kind, found in leaks(np.array([lookup(x, none) for x in reading], np.int64), index):
-                        best[i] = max(best.get(i, ("", 0)), (kind, found))
-                rows += [(doc, index.ids[i], *b) for i, b in best.items()]
+            read = [(n, np.array([lookup(x, none) for x in reading], np.int64)) for n, text in enumerate(pdf["text"]) for reading in readings(text)]
+            best: dict[tuple[int, int], tuple[str, int]] = {}
+            for (n, w), stretches in zip(read, index.stretches([w for _, w in read])):
+                for i, kind, found in leaks(w, index, stretches):
+                    best[n, i] = max(best.get((n, i), ("", 0)), (kind, found))
+            docs = pdf["doc_id"].tolist()
+            rows = [(docs[n], index.ids[i], *b) for (n, i), b in best.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "kind", "words"])
 
     return run
@@ -247,7 +289,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, items_a_pass: int = I
     """doc_id, item_id, kind (run or passage) and the words found, for every leak in the whole texts.
 
     The items are a stated query set: they are read in blocks of ``items_a_pass`` (held by each task), the documents are
-    scanned once a block and never shuffled. Items with fewer than BLOCK words and null texts can't be found and give no row;
+    scanned once a block and never shuffled. Items with fewer than BLOCK words and null texts are no items and give no row;
     rows that occur twice give their leaks twice; other columns are ignored.
     """
     spark = documents.sparkSession

@@ -55,3 +55,33 @@ def test_longest_common_subsequence():
             for j in range(len(b)):
                 t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
         assert L.in_order(a, b) == t[-1, -1]
+
+
+def test_passages_with_words_put_in_between(spark):
+    spaced = [" ".join(x + (" foreign" + str(n) if n % 3 == 2 else "") for n, x in enumerate(i.split())) for i in ITEM[:3]]
+    thin = " ".join(x + (" foreign" + str(n) if n % 2 else "") for n, x in enumerate(x for n, x in enumerate(ITEM[3].split()) if n % 5))
+    wide = " ".join(x + " foreign" for x in ITEM[4].split())
+    docs = [spaced[0], (FILL[0] + " ") * 7 + spaced[1] + " " + FILL[1] * 5, "x " * 127 + spaced[2], thin, wide]
+    assert _found(spark, docs) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
+def test_passages_equal_brute_force():
+    r = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(60)]
+    items = [[names[k] for k in r.integers(0, 60, n)] for n in (4, 7, 20, 33, 64, 90)]
+    index = L.Index(list(range(len(items))), items)
+    docs = []
+    for _ in range(60):
+        i = items[int(r.integers(0, len(items)))]
+        kept = [x for x in i if r.random() > r.choice([0.1, 0.2, 0.25])]
+        mixed = [y for x in kept for y in ([x, "other"] if r.random() < r.choice([0.1, 0.3, 0.5]) else [x])]
+        docs.append(["a"] * int(r.integers(0, 200)) + mixed + [names[k] for k in r.integers(0, 60, int(r.integers(0, 200)))])
+    coded = [np.array([index.vocabulary.get(x, index.size - 1) for x in d], np.int64) for d in docs]
+    found = 0
+    for w, stretches in zip(coded, index.stretches(coded)):
+        got = {i for i, _, _ in L.leaks(w, index, stretches)}
+        run = {i for i, x in enumerate(index.words) if any((w[a : a + L.RUN] == x[b : b + L.RUN]).all() for a in range(len(w) - L.RUN + 1) for b in range(len(x) - L.RUN + 1))}
+        brute = {i for i, x in enumerate(index.words) if any(L.in_order(x, w[s : s + int(len(x) * L.PASSAGE)]) * 5 >= 4 * len(x) for s in range(len(w)))}
+        assert got == run | brute
+        found += len(brute - run)
+    assert found > 10
