@@ -254,7 +254,8 @@ def pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("key", "other").alias("id_lo"), F.greatest("key", "other").alias("id_hi")).distinct()
 
 
-ENTRIES, WIDTH, STEPS = 512, 24, 6
+#: A search enters at one of so many nodes, at ENTRIES at least; DOORS of them are held at a time.
+SHARE, ENTRIES, DOORS, WIDTH = 4, 512, 16_384, 96
 
 
 def _enter(keys: list[int], packed: list[bytes], best: int, dimensions: int):
@@ -284,22 +285,40 @@ def _compare(dimensions: int):
 def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = K, dimensions: int = DIMENSIONS) -> DataFrame:
     """(query, key, sim, rank): the k nodes (key, vec) most similar to each query (query, vec), by greedy steps on the graph.
 
-    A query starts at the best of ENTRIES nodes (a bounded number, spread by hash), looks at the neighbours, either way, of the
-    WIDTH best nodes it knows and hasn't looked at, and goes on for STEPS steps or until nothing is new. All queries step together.
+    A query starts at the best of a fixed share of the nodes (drawn by hash, read in blocks of a bounded size), looks at the neighbours,
+    either way, of the WIDTH best nodes it knows and hasn't looked at, and goes on until nothing is new. All queries step together.
     """
-    spark = nodes.sparkSession
-    doors = nodes.orderBy(F.xxhash64("key"), "key").limit(ENTRIES).toPandas()
     schema = "query bigint, key bigint, sim float"
-    if not len(doors):
-        return spark.createDataFrame([], schema + ", rank int")
+    total = nodes.count()
+    hashed = F.xxhash64("key")
+    if total <= SHARE * ENTRIES:
+        blocks = [nodes.orderBy(hashed, "key").limit(ENTRIES)]
+    else:
+        buckets = SHARE * -(-total // (SHARE * DOORS))
+        blocks = [nodes.where(F.pmod(hashed, F.lit(buckets)) == b) for b in range(buckets // SHARE)]
+    w = Window.partitionBy("query").orderBy(F.desc("sim"), "key")
+    pool = queries.sparkSession.createDataFrame([], schema)
+    for block in blocks:
+        doors = block.select("key", "vec").toPandas()
+        if len(doors):
+            entered = queries.select("query", "vec").mapInPandas(_enter(doors["key"].tolist(), doors["vec"].tolist(), WIDTH // 2, dimensions), schema)
+            pool = cut(pool.unionByName(entered).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= WIDTH // 2).drop("rank"))
+    pool = pool.withColumn("open", F.lit(True))
     asked = queries.select("query", F.col("vec").alias("asked"))
     both = cut(graph.select("key", "other").union(graph.select("other", "key")).distinct())
-    pool = queries.select("query", "vec").mapInPandas(_enter(doors["key"].tolist(), doors["vec"].tolist(), WIDTH // 2, dimensions), schema).withColumn("open", F.lit(True))
-    w = Window.partitionBy("query").orderBy(F.desc("sim"), "key")
-    for _ in range(STEPS):
+    while True:
         pool = cut(pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= WIDTH).drop("rank"))
+        if pool.where("open").isEmpty():
+            break
         ahead = pool.where("open").select("query", "key").join(both, "key").select("query", F.col("other").alias("key")).distinct()
         fresh = ahead.join(pool.select("query", "key"), ["query", "key"], "left_anti")
         seen = fresh.join(nodes.select("key", "vec"), "key").join(asked, "query").select("query", "key", "vec", "asked").mapInPandas(_compare(dimensions), schema)
         pool = pool.withColumn("open", F.lit(False)).unionByName(seen.withColumn("open", F.lit(True)))
     return pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "key", "sim", "rank")
+
+
+def members(found: DataFrame, groups: DataFrame, k: int = K) -> DataFrame:
+    """What greedy_search found among classes of equal vectors (as classes gives them), as the k most similar rows of each query."""
+    w = Window.partitionBy("query").orderBy(F.desc("sim"), "key")
+    rows = found.drop("rank").join(groups.select("key", "keys"), "key").select("query", F.explode("keys").alias("key"), "sim")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -65,8 +65,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_search(spark: SparkSession, folder: str) -> DataFrame:
     """The five communities most similar to each chunk whose id is divisible by 50, by greedy search on the graph of communities."""
     chunks = neighbours.usable(table(spark, folder, "stored_chunks").where(F.col("id") % 50 == 0).select(F.col("id").alias("key"), "embedding"))
-    nodes = cut(neighbours.classes(neighbours.usable(table(spark, folder, "graph_communities").select(F.col("seq").alias("key"), "embedding"))).select("key", "vec"))
-    return neighbours.greedy_search(chunks.withColumnRenamed("key", "query"), nodes, neighbours.build(nodes))
+    groups = cut(neighbours.classes(neighbours.usable(table(spark, folder, "graph_communities").select(F.col("seq").alias("key"), "embedding"))))
+    nodes = groups.select("key", "vec")
+    return neighbours.members(neighbours.greedy_search(chunks.withColumnRenamed("key", "query"), nodes, neighbours.build(nodes)), groups)
 
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:

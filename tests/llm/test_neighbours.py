@@ -71,3 +71,16 @@ def test_greedy_search_recall(spark):
     s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
     want = {(i, int(j)) for i in range(30) for j in np.argsort(-s[i])[:5]}
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_search_gives_equal_rows(spark, tmp_path):
+    from rankloom.llm import queries
+
+    m = rng.standard_normal((40, 64))
+    spark.createDataFrame([(50, [float(x) for x in m[0]]), (51, [float(x) for x in m[1]])], "id long, embedding array<float>").write.parquet(str(tmp_path / "stored_chunks.parquet"))
+    rows = [(i, m[i % 40] * (1 + i // 40)) for i in range(120)]
+    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "seq long, embedding array<float>").write.parquet(str(tmp_path / "graph_communities.parquet"))
+    got = [(r.query, r.key, r.rank) for r in queries.p3_search(spark, str(tmp_path)).orderBy("rank").collect()]
+    s = m[0] / np.linalg.norm(m[0]) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+    second = int(np.argsort(-s)[1])
+    assert got == [(50, 0, 1), (50, 40, 2), (50, 80, 3), (50, second, 4), (50, second + 40, 5)]
