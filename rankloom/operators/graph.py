@@ -12,7 +12,6 @@ from rankloom.functions import text as T, vectors as V
 from rankloom.operators.search import ranked
 from rankloom.session import cut
 
-NAME_WORDS = 3
 ANCHORS = 6
 NEIGHBOUR = 0.4
 LOW, HIGH, CEILING = 0.6, 1.6, 0.63
@@ -21,19 +20,23 @@ COMPONENT_EDGES = 500_000
 LEVELS, GAIN, SWEEPS = 4, 1e-6, 20
 
 
-def phrases(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, at, phrase): all runs of one to three words of a text in the form of entity names, with their places."""
+def phrases(texts: DataFrame, key: str, column: str, lengths: list[int]) -> DataFrame:
+    """(key, at, phrase): all runs of the given numbers of words of a text in the form of entity names, with their places."""
     words = F.split(T.entity_name(F.col(column)), " ")
     base = texts.select(key, words.alias("w")).where(F.col("w").isNotNull())
     at = base.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at"))
-    runs = F.array(*[F.when(F.col("at") + n - 1 <= F.size("w"), F.array_join(F.slice("w", F.col("at"), n), " ")) for n in range(1, NAME_WORDS + 1)])
+    runs = F.array(*[F.when(F.col("at") + n - 1 <= F.size("w"), F.array_join(F.slice("w", F.col("at"), n), " ")) for n in lengths])
     return at.select(key, "at", F.explode(runs).alias("phrase")).where("phrase is not null")
 
 
 def mentions(units: DataFrame, names: DataFrame) -> DataFrame:
-    """(unit, at, entity): where the units (unit, text) mention entities (entity), by name of up to three words, found by an equi-join."""
-    known = names.select("entity", T.entity_name(F.col("entity")).alias("phrase")).where(F.length("phrase") >= 3).groupBy("phrase").agg(F.min("entity").alias("entity"))
-    return phrases(units, "unit", "text").join(known, "phrase").select("unit", "at", "entity")
+    """(unit, at, entity): where the units (unit, text) mention entities (entity), by names of any length, found by an equi-join.
+
+    Runs are built of the numbers of words that the names have; of entities whose names read alike each is found.
+    """
+    known = names.select("entity", T.entity_name(F.col("entity")).alias("phrase")).where(F.length("phrase") >= 3).distinct()
+    lengths = sorted(r.n for r in known.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
+    return phrases(units, "unit", "text", lengths or [1]).join(known, "phrase").select("unit", "at", "entity")
 
 
 def merge_entities(raw: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from rankloom.operators import graph as G
 
 BARBELL = [("a", "b", 10.0), ("b", "c", 10.0), ("a", "c", 10.0), ("d", "e", 10.0), ("e", "f", 10.0), ("d", "f", 10.0), ("c", "d", 1.0)]
@@ -74,3 +76,13 @@ def test_entities_merge(spark):
     raw = spark.createDataFrame([(1, " Apex  Ltd", None, "x"), (2, "apex ltd", "ORG", "longer"), (3, "APEX LTD", "ORG", "equal!"), (4, "  ", "ORG", "dropped"), (5, None, None, None)], "seq int, name string, type string, description string")
     (e,) = G.merge_entities(raw).collect()
     assert (e.entity, e.name, e.degree, e.description) == ("APEX LTD", "Apex  Ltd", 3, "longer")
+
+
+def test_names_of_any_length_and_alike(spark):
+    names = spark.createDataFrame([("BANK OF NEW ENGLAND", 2), ("ACME-NORTH", 1), ("ACME NORTH", 5), ("ONE TWO THREE FOUR FIVE SIX SEVEN", 1), ("AB", 9)], "entity string, degree long")
+    units = spark.createDataFrame([(1, "The Bank of New England sued Acme North."), (2, "one two three four five six seven"), (3, "ab, bank of new"), (4, None)], "unit long, text string")
+    got = {(r.unit, r.at, r.entity) for r in G.mentions(units, names).collect()}
+    assert got == {(1, 2, "BANK OF NEW ENGLAND"), (1, 7, "ACME-NORTH"), (1, 7, "ACME NORTH"), (2, 1, "ONE TWO THREE FOUR FIVE SIX SEVEN")}
+    asked = units.select(F.col("unit").alias("query_id"), "text")
+    assert [(r.entity, r.score) for r in G.match_entities(asked, names).where("query_id = 1").orderBy("rank").collect()] == [("BANK OF NEW ENGLAND", 192), ("ACME NORTH", 105), ("ACME-NORTH", 101)]
+    assert G.mentions(units, names.limit(0)).collect() == []
