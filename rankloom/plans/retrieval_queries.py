@@ -138,9 +138,10 @@ def page_two(spark: SparkSession, folder: str) -> DataFrame:
     return best.withColumn("row", F.row_number().over(w)).where(F.col("row").between(26, 50)).select("row", "query_id", "doc_id")
 
 
-def items(spark: SparkSession, folder: str, every: int = 50) -> DataFrame:
-    """Questions, each once, whose position is divisible by ``every``: the stated query set of searches."""
-    e = table(spark, folder, "evaluation_items").where(F.col("pos") % every == 0)
+def items(spark: SparkSession, folder: str, every: int | None = 50) -> DataFrame:
+    """Questions, each once, whose position is divisible by ``every``: the stated query set of searches. None gives every question."""
+    e = table(spark, folder, "evaluation_items")
+    e = e if every is None else e.where(F.col("pos") % every == 0)
     last = latest(e.select("id", "loaded_at", "pos", "question", "reference_answer", "expected_keywords", "question_type", "gold_chunk_ids"), ["id"], ["loaded_at"])
     return last.select(F.col("id").alias("item_id"), "pos", "question", F.col("reference_answer").alias("answer"), F.col("expected_keywords").alias("keywords"), F.coalesce("question_type", F.lit("other")).alias("question_type"), F.col("gold_chunk_ids").alias("gold"))
 

@@ -1,4 +1,4 @@
-"""Queries that run whole strategies over the source documents; questions are those whose position is divisible by 50."""
+"""Queries that run whole strategies over the source documents; the questions of searches are those whose position is divisible by 50."""
 
 from __future__ import annotations
 
@@ -54,8 +54,8 @@ def strategy_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def query_plans(spark: SparkSession, folder: str) -> DataFrame:
-    """PRJ-12, PRJ-13, MDL-4: the queries asked for each question."""
-    q = _items(spark, folder).select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
+    """PRJ-12, PRJ-13, MDL-4: the queries asked for each question, those without a position included."""
+    q = items(spark, folder, None).select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
     return R.query_plan(q)
 
 

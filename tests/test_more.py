@@ -39,3 +39,12 @@ def test_generated_questions_and_embeddings(spark):
     assert g[0].answer == "Quarterly revenue increased strongly." and "quarterly" in g[0].keywords
     v = P.embed(df).collect()
     assert len(v[0].embedding) == 64 and abs(sum(x * x for x in v[0].embedding) - 1) < 1e-5 and v[1].embedding == v[2].embedding
+
+
+def test_query_plans_of_every_question(spark, tmp_path):
+    from rankloom.plans import strategy_queries
+
+    rows = [(f"q{i}", "2024-01-01", i if i < 60 else None, f"What is item {i}?") for i in range(62)] + [("q1", "2024-01-02", 1, "What is the later item?")]
+    df = spark.createDataFrame(rows, "id string, loaded_at string, pos long, question string")
+    df.selectExpr("*", "'a' as reference_answer", "array('k') as expected_keywords", "'fact' as question_type", "array('c') as gold_chunk_ids").write.parquet(str(tmp_path / "evaluation_items.parquet"))
+    assert {r.query_id for r in strategy_queries.query_plans(spark, str(tmp_path)).select("query_id").collect()} == {f"q{i}" for i in range(62)}
