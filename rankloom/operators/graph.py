@@ -5,18 +5,16 @@ Entities hold no lists: which units mention an entity is a table of its own, so
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rankloom.functions import text as T, vectors as V
 from rankloom.operators.search import ranked
-from rankloom.session import cut
+from rankloom.session import cut, numbered
 
 ANCHORS = 6
 NEIGHBOUR = 0.4
 LOW, HIGH, CEILING = 0.6, 1.6, 0.63
-#: A component with more edges isn't given to one task: it moves by joins instead.
-COMPONENT_EDGES = 500_000
+# Levels of communities, the least gain that counts, sweeps over all nodes.
 LEVELS, GAIN, SWEEPS = 4, 1e-6, 20
 
 
@@ -166,150 +164,82 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).agg(F.round(F.sum(F.col("inner") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)), 9).alias("modularity"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): connected components by the smallest node, by repeated joins until nothing changes."""
-    both = cut(edges.select("source", "target").union(edges.select("target", "source")).distinct())
-    labels = cut(both.groupBy(F.col("source").alias("node")).agg(F.least(F.min("source"), F.min("target")).alias("component")))
-    for _ in range(rounds):
-        told = both.join(labels.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node")).agg(F.min("component").alias("near"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        fresh = cut(labels.join(told, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component")).join(jump, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
-        same = fresh.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count() == 0
-        labels = fresh
-        if same:
-            break
-    return labels
-
-
-def _moves(neighbours: list[dict[int, float]], loops: list[float], total: float) -> list[int]:
-    """Greedy moves of nodes, in order, to the neighbouring community with the largest gain, until none pays; compact labels."""
-    n = len(neighbours)
-    degree = [sum(near.values()) + 2 * loops[i] for i, near in enumerate(neighbours)]
-    mine, mass = list(range(n)), list(degree)
-    for _ in range(SWEEPS):
-        moved = False
-        for v in range(n):
-            links: dict[int, float] = {mine[v]: 0.0}
-            for u, w in neighbours[v].items():
-                links[mine[u]] = links.get(mine[u], 0.0) + w
-            mass[mine[v]] -= degree[v]
-            gain = {c: w - mass[c] * degree[v] / (2 * total) for c, w in links.items()}
-            best = mine[v]
-            for c in sorted(gain):
-                if gain[c] > gain[best] + GAIN and c != mine[v]:
-                    best = c
-            mass[best] += degree[v]
-            moved |= best != mine[v]
-            mine[v] = best
-        if not moved:
-            break
-    order: dict[int, int] = {}
-    return [order.setdefault(c, len(order)) for c in mine]
+def _links(edges: DataFrame) -> DataFrame:
+    """Undirected edges (source, target, w) in both directions, parallel ones summed; a loop counts in one row."""
+    e = edges.select("source", "target", "w")
+    turned = e.where("source <> target").select(F.col("target").alias("source"), F.col("source").alias("target"), "w")
+    return cut(e.unionByName(turned).groupBy("source", "target").agg(F.sum("w").alias("w")))
 
 
-def hierarchy(nodes: list, edges: list[tuple], total: float | None = None) -> list[list[int]]:
-    """For each level the community number of every node; nodes in their order, edges (source, target, weight).
+def _settled(links: DataFrame, twice: float, sweeps: int = SWEEPS) -> DataFrame:
+    """(node, community): nodes moved to the neighbouring community of largest gain until no move pays; ``twice``: the weight of all ends.
 
-    Edges with unknown ends are ignored, weights that aren't positive count 1. ``total`` is the weight of the whole graph
-    when the nodes are one component of it.
+    A sweep has two turns; by a hash of node and sweep a node moves in one of them, so that two neighbours rarely swap places.
+    A turn is three aggregates and joins over all links, whatever the shape of the graph. Of equal gains the smaller community wins.
     """
-    place = {v: i for i, v in enumerate(nodes)}
-    near: list[dict[int, float]] = [{} for _ in nodes]
-    loops = [0.0] * len(nodes)
-    own = 0.0
-    for s, t, w in edges:
-        if s in place and t in place:
-            a, b, w = place[s], place[t], float(w) if w and w > 0 else 1.0
-            own += w
-            if a == b:
-                loops[a] += w
-            else:
-                near[a][b] = near[a].get(b, 0.0) + w
-                near[b][a] = near[b].get(a, 0.0) + w
-    m = total or own
-    levels: list[list[int]] = []
-    at = list(range(len(nodes)))
-    while len(levels) < LEVELS and len(near) > 1 and m:
-        found = _moves(near, loops, m)
-        size = max(found) + 1
-        if size == len(near):
-            break
-        at = [found[c] for c in at]
-        levels.append(at)
-        merged: list[dict[int, float]] = [{} for _ in range(size)]
-        inner = [0.0] * size
-        for v, c in enumerate(found):
-            inner[c] += loops[v]
-            for u, w in near[v].items():
-                if found[u] == c:
-                    inner[c] += w / 2
-                else:
-                    merged[c][found[u]] = merged[c].get(found[u], 0.0) + w
-        near, loops = merged, inner
-    return levels
-
-
-def _spread_moves(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, community) for a graph too large for one task: nodes of either half move in turn, by joins and aggregates."""
-    both = cut(edges.select("source", "target", "w").union(edges.select("target", "source", "w")).where("source <> target").groupBy("source", "target").agg(F.sum("w").alias("w")))
-    degree = cut(both.groupBy(F.col("source").alias("node")).agg(F.sum("w").alias("k")))
-    total = degree.agg(F.sum("k").alias("k2"))
-    state = degree.select("node", "k", F.col("node").alias("community"))
-    for i in range(rounds):
+    ends = F.when(F.col("source") == F.col("target"), 2 * F.col("w")).otherwise(F.col("w"))
+    state = cut(links.groupBy(F.col("source").alias("node")).agg(F.sum(ends).alias("k")).withColumn("community", F.col("node")))
+    outward = links.where("source <> target")
+    still = 0
+    for turn in range(2 * sweeps):
+        mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
         mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
-        links = both.join(state.select(F.col("node").alias("target"), "community"), "target").groupBy(F.col("source").alias("node"), "community").agg(F.sum("w").alias("w"))
-        stay = state.select("node", "community").withColumn("w", F.lit(0.0))
-        options = links.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(mass, "community").join(state.select("node", "k", F.col("community").alias("now")), "node").crossJoin(F.broadcast(total))
-        others = F.col("mass") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.col("w") - others * F.col("k") / F.col("k2")
-        best = options.groupBy("node").agg(F.max_by("community", F.struct(F.round(gain, 9), F.col("community") == F.col("now"), F.col("community"))).alias("next"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        state = cut(state.join(best, "node").select("node", "k", F.when(turn, F.col("next")).otherwise(F.col("community")).alias("community")))
+        toward = outward.withColumnRenamed("source", "node").where(mine).join(state.select(F.col("node").alias("target"), "community"), "target").select("node", "community", "w")
+        own = state.where(mine).select("node", "community", F.lit(0.0).alias("w"))
+        options = toward.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w"))
+        judged = options.join(mass, "community").join(state.select("node", "k", F.col("community").alias("now")), "node")
+        stays = F.col("community") == F.col("now")
+        gain = F.col("w") - (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) * F.col("k") / twice
+        best = judged.select("node", "k", "now", "community", stays.alias("stays"), F.round(gain, 9).alias("gain")).groupBy("node").agg(
+            F.first("k").alias("k"), F.first("now").alias("now"), F.min_by("community", F.struct(-F.col("gain"), "community")).alias("next"), F.max("gain").alias("best"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("stay"))
+        pays = F.col("best") > F.col("stay") + GAIN
+        turned = best.select("node", "k", F.when(pays, F.col("next")).otherwise(F.col("now")).alias("community"), pays.alias("moved"))
+        after = cut(turned.unionByName(state.where(~mine).withColumn("moved", F.lit(False))), bare=True)
+        moved = not after.where("moved").isEmpty()
+        state = after.drop("moved")
+        still = 0 if moved else still + 1
+        if still == 2:
+            break
     return state.select("node", "community")
 
 
-MEMBERS = "component string, node string, pos bigint, level int, number int"
-
-
 def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(level, node, community): nested communities of nodes (node, pos) by edges (source, target, weight).
+    """(level, node, community): nested communities of nodes (node, pos) by edges (source, target, weight), LEVELS at most.
 
-    Communities of one component don't touch others, so each component is moved on its own with the weight of the whole graph;
-    one that has settled keeps its last communities on later levels. Names are c{level}_{n}, n in the order of the smallest pos.
-    A component of more than COMPONENT_EDGES edges is never gathered: it gets one level, moved by joins. Nodes without edges are alone.
+    One way for graphs of every size and shape: on each level the nodes of the level before (first the nodes themselves) move
+    by joins until no move pays, then each community becomes a node; it ends when nothing is merged or one community is left. All nodes of
+    a turn decide by the state before it, so where gains are equal or close communities can differ from those of one node after
+    the other. Edges with unknown ends are ignored, weights that aren't positive count 1, nodes without edges are alone; without edges there
+    is no level. Names are c{level}_{n}, n in the order of the smallest pos.
     """
-    e = edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0).alias("w"))
-    known = nodes.select(F.col("node").cast("string").alias("node"), "pos")
-    e = cut(e.join(known.select(F.col("node").alias("source")), "source", "left_semi").join(known.select(F.col("node").alias("target")), "target", "left_semi"))
-    total = e.agg(F.sum("w")).first()[0]
-    if not total:
-        return nodes.sparkSession.createDataFrame([], "level int, node string, community string")
-    where = cut(components(e.select("source", "target")))
-    sized = cut(e.join(where.withColumnRenamed("node", "source"), "source"))
-    counts = sized.groupBy("component").agg(F.count("*").alias("edges"))
-    small, large = counts.where(F.col("edges") <= COMPONENT_EDGES).select("component"), counts.where(F.col("edges") > COMPONENT_EDGES).select("component")
-    placed = where.join(known, "node")
-
-    def run(key, members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        members = members.sort_values("pos")
-        found = hierarchy(members["node"].tolist(), list(zip(links["source"], links["target"], links["w"])), total) or [list(range(len(members)))]
-        return pd.concat([pd.DataFrame({"component": key[0], "node": members["node"], "pos": members["pos"], "level": i, "number": x}) for i, x in enumerate(found)])
-
-    links = sized.join(small, "component").select(F.col("component").alias("part"), "source", "target", "w")
-    inside = placed.join(small, "component").select(F.col("component").alias("own"), "node", "pos").groupBy("own").cogroup(links.groupBy("part")).applyInPandas(run, MEMBERS)
-    big = _spread_moves(sized.join(large, "component")) if large.limit(1).count() else None
-    rows = inside.select("component", "node", "pos", "level", F.col("number").cast("string").alias("number"))
-    if big is not None:
-        rows = rows.unionByName(placed.join(big, "node").select("component", "node", "pos", F.lit(0).alias("level"), F.col("community").alias("number")))
-    alone = known.join(where.select("node"), "node", "left_anti").select(F.col("node").alias("component"), "node", "pos", F.lit(0).alias("level"), F.lit("0").alias("number"))
-    rows = cut(rows.unionByName(alone))
-    last = rows.groupBy("component").agg(F.max("level").alias("own"))
-    deepest = rows.agg(F.max("level")).first()[0]
-    later = rows.join(last, "component").where("level = own and own < %d" % deepest).select("component", "node", "pos", F.explode(F.sequence(F.col("own") + 1, F.lit(deepest))).alias("level"), "number")
-    rows = rows.unionByName(later)
-    first = rows.groupBy("level", "component", "number").agg(F.min("pos").alias("first"))
-    named = first.withColumn("n", F.row_number().over(Window.partitionBy("level").orderBy("first")) - 1)
-    return rows.join(named, ["level", "component", "number"]).select("level", "node", F.concat(F.lit("c"), F.col("level").cast("string"), F.lit("_"), F.col("n").cast("string")).alias("community"))
+    w = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)
+    known = cut(nodes.select(F.col("node").cast("string").alias("node"), F.col("pos").cast("long").alias("pos")))
+    number = lambda end: edges_.join(known.select(F.col("node").alias(end), F.col("pos").alias(f"{end}_pos")), end)
+    edges_ = edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), w.alias("w"))
+    edges_ = number("source")
+    edges_ = number("target").select(F.col("source_pos").alias("source"), F.col("target_pos").alias("target"), "w")
+    links = _links(edges_)
+    twice = links.agg(F.sum(F.when(F.col("source") == F.col("target"), 2 * F.col("w")).otherwise(F.col("w")))).first()[0]
+    out = nodes.sparkSession.createDataFrame([], "level int, node string, community string")
+    at = known.withColumn("now", F.col("pos"))
+    size = known.count()
+    for level in range(LEVELS if twice else 0):
+        found = _settled(links, twice)
+        joined = at.join(found.withColumnRenamed("node", "now"), "now", "left").select("node", "pos", F.coalesce("community", "now").alias("group"))
+        named = numbered(joined.groupBy("group").agg(F.min("pos").alias("first")), ["first"], "n")
+        at = cut(joined.join(named, "group").select("node", "pos", "n", F.col("first").alias("now"), "group"))
+        merged = at.select("now").distinct().count()
+        if merged == size:
+            break
+        out = out.unionByName(at.select(F.lit(level).alias("level"), "node", F.concat(F.lit(f"c{level}_"), F.col("n").cast("string")).alias("community")))
+        if merged == 1:
+            break
+        of = found.join(named.select(F.col("group").alias("community"), "first"), "community").select("node", "first")
+        ends = links.join(of.select(F.col("node").alias("source"), F.col("first").alias("s")), "source").join(of.select(F.col("node").alias("target"), F.col("first").alias("t")), "target")
+        inner = F.when((F.col("s") == F.col("t")) & (F.col("source") != F.col("target")), F.col("w") / 2).otherwise(F.col("w"))  # an inner edge stands in both directions
+        links = cut(ends.groupBy(F.col("s").alias("source"), F.col("t").alias("target")).agg(F.sum(inner).alias("w")))
+        at, size = at.select("node", "pos", "now"), merged
+    return out
 
 
 def parents(membership: DataFrame) -> DataFrame:

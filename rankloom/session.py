@@ -27,10 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, bare: bool = False) -> DataFrame:
+    """Computes df once and cuts its lineage with a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps what the engine inferred of its columns (constraints, orders, partitionings); over many rounds of an
+    iteration that grows without bound, and ``bare`` leaves it out.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    held = df.checkpoint(eager=True)
+    if not bare:
+        return held
+    rows = held._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, held._jdf.schema(), False), spark)
 
 
 def small_or_join(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -54,6 +63,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(df) if name in DEAR else df
 
 
+def numbered(df: DataFrame, order: list, into: str) -> DataFrame:
+    """df with a number from 0 in the given order, which must be total; no task holds more than its range of the order.
+
+    The rows are parted by ranges and sorted there; a range's numbers begin where those before it end. Only the sizes of the ranges
+    come to the driver. The ranges are kept by a lineage cut, so a row's number doesn't change when a task is run again.
+    """
+    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_id"))
+    held = cut(parted.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_nth")))
+    begin, starts = 0, []
+    for part, n in sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        starts.append((part, begin))
+        begin += n
+    first = df.sparkSession.createDataFrame(starts, "_part bigint, _first bigint")
+    return held.join(F.broadcast(first), "_part").select(*[F.col(c) for c in df.columns], (F.col("_first") + F.col("_nth")).alias(into))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the one with the highest ``order`` (nulls lowest): rows delivered twice count once.
 
@@ -64,4 +89,4 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in [*order, *rest]]).select(*df.columns)
 
 
-__all__ = ["BROADCAST_ROWS", "StorageLevel", "cut", "latest", "shared_dir", "small_or_join", "spread", "table"]
+__all__ = ["BROADCAST_ROWS", "StorageLevel", "cut", "latest", "numbered", "shared_dir", "small_or_join", "spread", "table"]

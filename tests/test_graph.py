@@ -17,35 +17,61 @@ def _modularity(nodes, edges, label):
     return q
 
 
-def test_barbell_has_two_communities():
-    levels = G.hierarchy(list("abcdef"), BARBELL)
-    assert levels[0] == [0, 0, 0, 1, 1, 1]
-    assert _modularity(list("abcdef"), BARBELL, dict(zip("abcdef", levels[0]))) > 0.3
-
-
-def test_no_edges_unknown_ends_and_loops():
-    assert G.hierarchy(["a", "b"], []) == []
-    assert G.hierarchy([], BARBELL) == []
-    assert G.hierarchy(["a", "b"], [("a", "ghost", 1.0)]) == []
-    assert G.hierarchy(["a", "b"], [("a", "b", 0.0), ("a", "a", 2.0)]) in ([], [[0, 0]])
-
-
-def test_louvain_on_spark_equals_the_whole_graph(spark):
-    rng = random.Random(3)
-    edges = [*BARBELL, *[(f"x{i}", f"x{i + 1}", 1.0 + rng.random()) for i in range(8)], *[(f"x{rng.randrange(9)}", f"x{rng.randrange(9)}", 1.5) for _ in range(6)]]
-    nodes = [*"abcdef", *[f"x{i}" for i in range(9)], "alone"]
-    got = G.louvain(spark.createDataFrame(list(zip(nodes, range(len(nodes)))), "node string, pos long"), spark.createDataFrame(edges, "source string, target string, weight double")).collect()
-    want = G.hierarchy(nodes, edges)
-    for level, labels in enumerate(want):
-        mine = {r.node: r.community for r in got if r.level == level}
-        assert len({*zip(labels, (mine[n] for n in nodes))}) == len(set(labels)) == len({mine[n] for n in nodes})
-    assert {r.community for r in got if r.level == 0 and r.node in "abc"} == {"c0_0"}
-
-
-def test_moves_by_joins_find_the_barbell(spark):
-    e = spark.createDataFrame(BARBELL, "source string, target string, w double")
-    label = {r.node: r.community for r in G._spread_moves(e).collect()}
-    assert _modularity(list("abcdef"), BARBELL, label) > 0.3
+def _levels(spark, nodes, edges):
+    rows = G.louvain(spark.createDataFrame(list(zip(nodes, range(len(nodes)))), "node string, pos long"), spark.createDataFrame(edges, "source string, target string, weight double")).collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r.level, {})[r.node] = r.community
+    return out
+
+
+def test_barbell_has_two_communities(spark):
+    (level,) = list(_levels(spark, [*"abcdef", "alone"], [*BARBELL, ("a", "a", 3.0), ("ghost", "a", 5.0)]).values())[:1]
+    assert [level[n] for n in "abcdef"] == ["c0_0"] * 3 + ["c0_1"] * 3 and level["alone"] == "c0_2"
+    assert _modularity(list("abcdef"), BARBELL, level) > 0.3
+
+
+def test_no_edges_and_unknown_ends(spark):
+    assert _levels(spark, ["a", "b"], []) == {} and _levels(spark, ["a", "b"], [("a", "ghost", 1.0)]) == {}
+    got = _levels(spark, ["a", "b"], [("a", "b", 0.0), ("a", "a", 2.0)])
+    assert got in ({}, {0: {"a": "c0_0", "b": "c0_0"}})
+
+
+def test_chained_triangles_have_levels(spark):
+    nodes = [f"g{g}n{i}" for g in range(6) for i in range(3)]
+    edges = [(f"g{g}n{i}", f"g{g}n{(i + 1) % 3}", 20.0) for g in range(6) for i in range(3)] + [(f"g{g - 1}n0", f"g{g}n0", 1.0) for g in range(1, 6)]
+    got = _levels(spark, nodes, edges)
+    assert len(set(got[0].values())) >= 4
+    for level in range(1, len(got)):
+        assert set(got[level]) == set(nodes) and len(set(got[level].values())) < len(set(got[level - 1].values()))
+        assert len({(got[level - 1][n], got[level][n]) for n in nodes}) == len(set(got[level - 1].values()))  # nested
+
+
+def _one_after_the_other(nodes, edges):
+    """Best modularity by single moves in order, from single nodes: what a sequential first level reaches."""
+    label = {n: i for i, n in enumerate(nodes)}
+    best, again = _modularity(nodes, edges, label), True
+    while again:
+        again = False
+        for n in nodes:
+            for c in sorted(set(label.values())):
+                before, label[n] = label[n], c
+                q = _modularity(nodes, edges, label)
+                if q > best + 1e-9:
+                    best, again = q, True
+                else:
+                    label[n] = before
+    return best
+
+
+def test_moves_in_turns_are_as_good_as_in_order(spark):
+    rng = random.Random(5)
+    nodes = [f"n{i}" for i in range(24)]
+    edges = sorted({(nodes[i], nodes[j]) for i in range(24) for j in range(i + 1, 24) if rng.random() < (0.5 if i // 8 == j // 8 else 0.03)})
+    edges = [(s, t, 1.0 + rng.random()) for s, t in edges]
+    got = _levels(spark, nodes, edges)
+    q = max(_modularity(nodes, edges, level) for level in got.values())
+    assert q > 0.97 * _one_after_the_other(nodes, edges) > 0.3
 
 
 def test_modularity_matches_the_formula(spark):
