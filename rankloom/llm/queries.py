@@ -20,7 +20,8 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that repeat a quarter of their words or more."""
-    return repetition.repetitive(repetition.outliers(table(spark, folder, "documents")))
+    documents = table(spark, folder, "documents")
+    return repetition.repetitive(documents, repetition.outliers(documents))
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Repetition inside a single document: statistics of each text, and robust outliers of them per language and source.
+"""Repetition inside a single document: cheap statistics of each text, robust outliers of them, and the exact count for those.
 
 A word is a run of letters and digits in lower case; it is repeated if it lies in a run of six words that occurred
-before in the same text. The other statistics (repeated sentences, repeated paragraphs, share of the commonest word)
-and the share form a vector of logit-like transformed values; a minimum-covariance-determinant estimate of each
-language and source gives centre and scatter, and a text is rejected by its Mahalanobis distance.
+before in the same text. Counting that exactly is dear, so it is done only where robust statistics ask for it: repeated runs of
+four words (which bound the repeated words from above), repeated words, sentences and paragraphs form a vector of logit-like values; a
+minimum-covariance-determinant estimate of each language and source gives centre and scatter, and a text is rejected by its Mahalanobis distance.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.llm.batches import slices
-from rankloom.session import cut
+from rankloom.session import cut, small_or_join
 
-RUN = 6
+RUN, PART = 6, 4
 MIN_WORDS = 20
 THRESHOLD = 0.25
-STATS = ["share", "sentences", "paragraphs", "top_word"]
+#: The first is the one that bounds the share.
+STATS = ["fours", "again", "sentences", "paragraphs"]
 #: Upper 97.5 % point of chi-squared with as many degrees of freedom as STATS has entries.
 CUTOFF = 11.143
 #: Smallest standard deviation taken for a transformed statistic, so that a group without any spread has a scatter.
@@ -32,10 +33,10 @@ CORE = 0.75
 STEPS = 2
 
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"[.!?]\s+|\n+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
-SCHEMA = "doc_id bigint, lang string, source string, words int, repeated int, share double, sentences double, paragraphs double, top_word double"
+SKETCH = "doc_id bigint, lang string, source string, words int, fours double, again double, sentences double, paragraphs double"
+SHARES = "doc_id bigint, words int, repeated int, share double"
 
 
 def repeated_mask(ids: np.ndarray, text_of: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -69,30 +70,51 @@ def _extra(parts: list[str]) -> float:
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in slices(batches):
-        texts = [t or "" for t in pdf["text"]]
-        words = [_WORD.findall(t.lower()) for t in texts]
-        counts = np.array([len(w) for w in words])
+        words = [_WORD.findall((t or "").lower()) for t in pdf["text"]]
+        counts = np.array([len(w) for w in words], np.int64)
         flat = [w for ws in words for w in ws]
         ids = pd.factorize(np.array(flat, dtype=object))[0] if flat else np.zeros(0, np.int64)
-        text_of = np.repeat(np.arange(len(texts)), counts)
-        mask = repeated_mask(ids, text_of)
-        repeated = np.bincount(text_of, weights=mask, minlength=len(texts)).astype(int) if len(texts) else counts
-        pairs, times = np.unique(text_of.astype(np.int64) * (len(flat) + 1) + ids, return_counts=True)
-        top = np.zeros(len(texts))
-        np.maximum.at(top, pairs // (len(flat) + 1), times)
-        safe = np.maximum(counts, 1)
-        yield pd.DataFrame({
-            "doc_id": pdf["doc_id"], "lang": pdf["lang"], "source": pdf["source"], "words": counts, "repeated": repeated, "share": repeated / safe,
-            "sentences": [_extra(_SENTENCE.split(t)) for t in texts], "paragraphs": [_extra(_PARAGRAPH.split(t)) for t in texts], "top_word": top / safe,
-        })
+        text_of = np.repeat(np.arange(len(words)), counts)
+        repeated = np.bincount(text_of, weights=repeated_mask(ids, text_of), minlength=len(words)).astype(int)
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "words": counts, "repeated": repeated, "share": repeated / np.maximum(counts, 1)})
 
 
 def measure(documents: DataFrame) -> DataFrame:
-    """One row for each input row with the statistics of its whole text.
+    """One row for each input row: words, repeated words and their share of its whole text.
 
-    Null and empty texts have no word and a share of 0; columns other than doc_id, text, lang and source are ignored.
+    Null and empty texts have no word and a share of 0; columns other than doc_id and text are ignored.
     """
-    return documents.select("doc_id", "text", "lang", "source").mapInPandas(_measure, SCHEMA)
+    return documents.select("doc_id", "text").mapInPandas(_measure, SHARES)
+
+
+def bound(words: int, fours: int) -> float:
+    """The most that the share of repeated words can be, by the number of different runs of PART words.
+
+    Repeated words come in stretches of six or more; a stretch of L words holds L - 3 runs of four, all of which stood before. So
+    the repeated words are at most twice the runs of four that aren't the first of their kind.
+    """
+    return min(1.0, RUN / (RUN - PART + 1) * max(0, words - PART + 1 - fours) / words) if words else 0.0
+
+
+def _different(words: list[str]) -> int:
+    """The number of different runs of PART words."""
+    return len(set(zip(*(words[i:] for i in range(PART)))))
+
+
+def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in slices(batches):
+        rows = []
+        for doc, lang, source, text in zip(pdf["doc_id"], pdf["lang"], pdf["source"], pdf["text"]):
+            low = (text or "").lower()
+            words = _WORD.findall(low)
+            if len(words) >= MIN_WORDS:
+                rows.append((doc, lang, source, len(words), bound(len(words), _different(words)), 1 - len(set(words)) / len(words), _extra(low.replace("\n", ". ").split(". ")), _extra(_PARAGRAPH.split(low))))
+        yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SKETCH.split(", ")])
+
+
+def sketch(documents: DataFrame) -> DataFrame:
+    """The cheap statistics of every text of at least MIN_WORDS words."""
+    return documents.select("doc_id", "text", "lang", "source").mapInPandas(_sketch, SKETCH)
 
 
 def transformed(share: Column) -> Column:
@@ -137,17 +159,16 @@ def _distance() -> Column:
 
 
 def outliers(documents: DataFrame) -> DataFrame:
-    """Statistics of each text of at least MIN_WORDS words, its squared robust distance, whether it is rejected, and
+    """Cheap statistics of each text of at least MIN_WORDS words, its squared robust distance, whether it is rejected, and
     ``suspect``: rejected, or of a group whose own accepted region reaches THRESHOLD.
 
     The estimate is a deterministic minimum covariance determinant: start from the coordinate-wise medians, keep the
     three quarters of a group with the smallest distances, take their mean and covariance, repeat. Every step is an
-    aggregate over all texts; a group, of whatever size, is never gathered. Within a group a text that isn't rejected
-    has a transformed share of at most centre + sqrt(CUTOFF * variance); where this bound is below THRESHOLD, no text
-    with a larger share is missed, and where it isn't, all texts of the group are suspects. So a source full of spam, which has no
-    outliers, loses none.
+    aggregate over all texts; a group, of whatever size, is never gathered. Within a group the bound on the share of a text that isn't
+    rejected is at most that of centre + sqrt(CUTOFF * variance); where this is below THRESHOLD, no text with a larger share
+    is missed, and where it isn't, all texts of the group are suspects. So a source full of spam, which has no outliers, loses none.
     """
-    stats = measure(documents).where(F.col("words") >= MIN_WORDS)
+    stats = sketch(documents)
     key = F.concat_ws("/", F.lower(F.coalesce("lang", F.lit("?"))), F.coalesce("source", F.lit("?")))
     base = cut(stats.withColumn("key", key).withColumn("pool", F.lower(F.coalesce("lang", F.lit("?")))))
     t = base.select("*", *[transformed(F.col(s)).alias(f"t_{s}") for s in STATS])
@@ -168,9 +189,11 @@ def outliers(documents: DataFrame) -> DataFrame:
     scored = t.join(model, "g").withColumn("distance", _distance())
     rejected = F.col("distance") > CUTOFF
     reaches = F.col("bound") >= float(np.log((THRESHOLD + 0.02) / (1.02 - THRESHOLD))) - 1e-9
-    return scored.select("doc_id", "lang", "source", "words", "repeated", *STATS, "distance", rejected.alias("rejected"), (rejected | reaches).alias("suspect"))
+    return scored.select("doc_id", "lang", "source", "words", *STATS, "distance", rejected.alias("rejected"), (rejected | reaches).alias("suspect"))
 
 
-def repetitive(scored: DataFrame) -> DataFrame:
-    """The texts whose share of repeated words is at least THRESHOLD, checked exactly among the suspects."""
-    return scored.where(F.col("suspect") & (F.col("repeated") >= F.lit(THRESHOLD) * F.col("words"))).select("doc_id").distinct()
+def repetitive(documents: DataFrame, scored: DataFrame) -> DataFrame:
+    """The texts whose share of repeated words is at least THRESHOLD, counted exactly among the suspects alone."""
+    suspects = small_or_join(cut(scored.where("suspect").select("doc_id").distinct()))
+    exact = measure(documents.select("doc_id", "text").join(suspects, "doc_id", "left_semi"))
+    return exact.where((F.col("words") >= MIN_WORDS) & (F.col("repeated") >= F.lit(THRESHOLD) * F.col("words"))).select("doc_id").distinct()

@@ -31,6 +31,14 @@ def test_mask_against_brute_force(texts):
     assert got.sum() == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80))
+def test_runs_of_four_bound_the_share(words):
+    text = " ".join(f"w{x}" for x in words)
+    n, repeated = _slow(text)
+    assert repeated <= R.bound(n, R._different(text.split())) * n + 1e-9
+
+
 def _docs(spark, rows):
     return spark.createDataFrame([(i, t, "en" if i % 2 else "EN", s, 1) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, share int")
 
@@ -41,8 +49,9 @@ def test_found_is_exact_in_clean_and_in_spam_sources(spark):
     rows += [(" ".join([fresh(8)] * 12), "spam") for _ in range(110)] + [(fresh(50), "spam") for _ in range(10)]
     rows += [(None, "clean"), ("", "spam"), ("a b c", None), (fresh(10) * 1, None), ("word " * 19, "x"), ("word " * 20, "x"), ("word " * 50_000, "x")]
     want = {i for i, (t, _) in enumerate(rows) if (n := _slow(t or ""))[0] >= 20 and n[1] >= 0.25 * n[0]}
-    scored = R.outliers(_docs(spark, rows))
-    assert {r.doc_id for r in R.repetitive(scored).collect()} == want
+    docs = _docs(spark, rows)
+    scored = R.outliers(docs)
+    assert {r.doc_id for r in R.repetitive(docs, scored).collect()} == want
     d = {r.doc_id: r for r in scored.collect()}
     assert d[120].rejected and not d[3].rejected and not any(d[i].rejected for i in range(130, 140)) and d[130].suspect
 
@@ -55,4 +64,4 @@ def test_shares_of_null_empty_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     df = _docs(spark, [("x", "a")]).limit(0)
-    assert R.repetitive(R.outliers(df)).collect() == [] and R.measure(df).collect() == []
+    assert R.repetitive(df, R.outliers(df)).collect() == [] and R.measure(df).collect() == []
