@@ -1,9 +1,9 @@
 """The k most similar vectors for every vector: a neighbour graph by NN-descent, and greedy search on it.
 
 Vectors are normalised and travel in half precision. Equal vectors form a class that is one node of the graph. The
-graph starts from cells (centroids fitted on a bounded sample; every vector joins its nearest cells, oversized cells are
-halved by hyperplanes) and improves by joins of neighbours with neighbours: each node gathers those it points to
-and those that point to it, and tells each of them about closer ones among the others.
+graph has a weak start (a few partitions of the space by random hyperplanes, compared inside their small cells) and improves by joins
+of neighbours with neighbours until hardly anything changes: each node gathers those it points to and those that point to it, and tells
+each of them about closer ones among the others. Nothing is fitted, and one way holds at every size.
 """
 
 from __future__ import annotations
@@ -14,19 +14,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rankloom.session import cut
+from rankloom.session import cut, small_or_join
 
 DIMENSIONS = 64
 K = 5
-#: At most so many vectors are collected to fit the centroids; all vectors are indexed.
-SAMPLE = 20_000
-CELL = 500
-MAX_CELLS = 1_000
-#: Each vector joins so many of its nearest cells.
-SPREAD = 2
-#: A cell is halved until it has no more than about so many vectors.
+#: The space is parted in WAYS ways by hyperplanes, so many that a cell has about CELL vectors.
+WAYS, CELL = 5, 256
+#: A cell of more vectors is halved by further hyperplanes, and by hash where those don't part it.
 MAX_CELL = 2_000
-ROUNDS = 2
+#: Neighbours kept of each node while the graph is built.
+LIST = 8
+#: Rounds go on until one changes at most this share of the edges.
+SETTLED = 0.005
+PLANES = 62
 #: A node that more than so many others point to gathers them in groups of about this size.
 HUB = 64
 
@@ -56,39 +56,15 @@ def _matrix(column, dimensions: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float16).reshape(-1, dimensions).astype(np.float32)
 
 
-def fit_cells(vectors: DataFrame, total: int, dimensions: int) -> np.ndarray:
-    """Centroids by k-means on a sample of at most SAMPLE vectors."""
-    cells = int(max(1, min(MAX_CELLS, total // CELL)))
-    if cells == 1:
-        return np.zeros((1, dimensions), np.float32)
-    part = min(1.0, 0.9 * SAMPLE / total)
-    sample = _matrix((vectors if part == 1 else vectors.sample(part, seed=7)).select("vec").limit(SAMPLE).toPandas()["vec"], dimensions)
-    rng = np.random.default_rng(7)
-    centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
-    for _ in range(6):
-        near = (sample @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, sample)
-        counts = np.bincount(near, minlength=len(centres))
-        empty = counts == 0
-        sums[empty] = sample[rng.choice(len(sample), int(empty.sum()))]
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return centres.astype(np.float32)
-
-
-def _assign(centres: np.ndarray, planes: np.ndarray, dimensions: int):
+def _assign(planes: np.ndarray, dimensions: int):
+    """The side of every hyperplane on which a vector lies, as the bits of a number for each way."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spread = min(SPREAD, len(centres))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            m = _matrix(pdf["vec"], dimensions)
-            s = m @ centres.T
-            near = np.argpartition(-s, spread - 1, axis=1)[:, :spread] if spread < len(centres) else np.tile(np.arange(len(centres)), (len(m), 1))
-            rest = m[:, None, :] - centres[near]
-            half = len(planes) // 2
-            bits = [((rest @ p.T) > 0) @ (1 << np.arange(half)) for p in (planes[:half], planes[half:])]
-            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), spread), "vec": np.repeat(pdf["vec"].to_numpy(), spread), "cell": near.ravel(), "bits": bits[0].ravel(), "more": bits[1].ravel()})
+            if len(pdf):
+                m = _matrix(pdf["vec"], dimensions)
+                sides = [((m @ p.T) > 0) @ (1 << np.arange(PLANES, dtype=np.int64)) for p in planes]
+                yield pd.DataFrame({"key": np.tile(pdf["key"].to_numpy(), WAYS), "vec": np.tile(pdf["vec"].to_numpy(), WAYS), "way": np.repeat(np.arange(WAYS), len(pdf)), "sides": np.concatenate(sides)})
 
     return run
 
@@ -148,16 +124,15 @@ def top(edges: DataFrame, k: int) -> DataFrame:
 
 def start(vectors: DataFrame, total: int, k: int, dimensions: int) -> DataFrame:
     """The first graph: the k most similar among those of the same cells."""
-    centres = fit_cells(vectors, total, dimensions)
-    planes = np.random.default_rng(11).standard_normal((48, dimensions)).astype(np.float32)
-    placed = vectors.mapInPandas(_assign(centres, planes, dimensions), "key bigint, vec binary, cell int, bits bigint, more bigint")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))  # at most MAX_CELLS rows
-    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / MAX_CELL))).cast("int")
-    mask = (F.pow(F.lit(2.0), F.least(halvings, F.lit(24))) - 1).cast("bigint")
-    base = F.col("cell").cast("bigint") * (1 << 25)
-    first, second = base + F.col("bits").bitwiseAND(F.col("mask")), base + (1 << 24) + F.col("more").bitwiseAND(F.col("mask"))
-    parts = F.when(F.col("mask") > 0, F.array(first, second)).otherwise(F.array(first))  # two ways to halve, so that neighbours parted by one meet in the other
-    cells = placed.join(F.broadcast(sizes.select("cell", mask.alias("mask"))), "cell").select("key", "vec", F.explode(parts).alias("part"))
+    planes = np.random.default_rng(11).standard_normal((WAYS, PLANES, dimensions)).astype(np.float32)
+    bits = min(PLANES, max(0, int(np.ceil(np.log2(max(1, total) / CELL)))))
+    low = lambda n: F.col("sides").bitwiseAND((F.pow(F.lit(2.0), n) - 1).cast("bigint"))
+    placed = vectors.mapInPandas(_assign(planes, dimensions), "key bigint, vec binary, way int, sides bigint").withColumn("cell", low(F.lit(bits)))
+    more = F.least(F.lit(PLANES - bits), F.ceil(F.log2(F.col("n") / MAX_CELL))).cast("int")
+    large = placed.groupBy("way", "cell").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CELL).select("way", "cell", more.alias("more"))
+    halved = placed.join(small_or_join(cut(large)), ["way", "cell"], "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("cell", low(bits + F.col("more"))).withColumn("own", F.xxhash64("way", "more", "cell"))
+    crowded = halved.where("more > 0").groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") > 2 * MAX_CELL).select("own", F.ceil(F.col("n") / MAX_CELL).alias("shares"))
+    cells = halved.join(small_or_join(cut(crowded)), "own", "left").select("key", "vec", F.xxhash64("own", F.pmod(F.xxhash64("key", "way"), F.coalesce("shares", F.lit(1)))).alias("part"))
     inside = cells.repartition("part").sortWithinPartitions("part").mapInPandas(_in_cells(k, dimensions), EDGES)
     return top(inside, k)
 
@@ -214,17 +189,18 @@ def classes(rows: DataFrame, k: int = K) -> DataFrame:
     return few.groupBy("vec").agg(F.min("key").alias("key"), F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def build(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, dimensions: int = DIMENSIONS) -> DataFrame:
-    """The neighbour graph (key, other, sim) of nodes with different vectors."""
-    total = nodes.count()
-    graph = cut(start(nodes, total, k, dimensions))
-    fresh = None
-    for _ in range(rounds):
-        told = improve(nodes, graph, fresh, k, dimensions)
-        better = cut(top(graph.unionByName(told), k))
-        fresh = better.join(graph, ["key", "other"], "left_anti").select("key", "other")
+def build(nodes: DataFrame, k: int = K, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The neighbour graph (key, other, sim) of nodes with different vectors, improved until it has settled: the k nearest that were found."""
+    wanted, k = k, max(k, LIST)
+    graph = cut(start(nodes, nodes.count(), k, dimensions))
+    fresh, edges = None, graph.count()
+    while edges:
+        better = cut(top(graph.unionByName(improve(nodes, graph, fresh, k, dimensions)), k))
+        fresh = cut(better.join(graph, ["key", "other"], "left_anti").select("key", "other"))
         graph = better
-    return graph
+        if fresh.count() <= SETTLED * edges:
+            break
+    return top(graph, wanted) if wanted < k else graph
 
 
 def most_similar(rows: DataFrame, k: int = K, dimensions: int = DIMENSIONS) -> DataFrame:
