@@ -19,13 +19,13 @@ from rankloom.session import cut, small_or_join
 DIMENSIONS = 64
 K = 5
 #: The space is parted in WAYS ways by hyperplanes, so many that a cell has about CELL vectors.
-WAYS, CELL = 5, 256
+WAYS, CELL = 8, 256
 #: A cell of more vectors is halved by further hyperplanes, and by hash where those don't part it.
 MAX_CELL = 2_000
 #: Neighbours kept of each node while the graph is built.
-LIST = 8
-#: Rounds go on until one changes at most this share of the edges.
-SETTLED = 0.005
+LIST = 5
+#: Rounds go on, two at least, until one changes at most this share of the edges.
+SETTLED, ROUNDS = 0.02, 2
 PLANES = 62
 #: A node that more than so many others point to gathers them in groups of about this size.
 HUB = 64
@@ -193,12 +193,12 @@ def build(nodes: DataFrame, k: int = K, dimensions: int = DIMENSIONS) -> DataFra
     """The neighbour graph (key, other, sim) of nodes with different vectors, improved until it has settled: the k nearest that were found."""
     wanted, k = k, max(k, LIST)
     graph = cut(start(nodes, nodes.count(), k, dimensions))
-    fresh, edges = None, graph.count()
+    fresh, edges, done = None, graph.count(), 0
     while edges:
         better = cut(top(graph.unionByName(improve(nodes, graph, fresh, k, dimensions)), k))
         fresh = cut(better.join(graph, ["key", "other"], "left_anti").select("key", "other"))
-        graph = better
-        if fresh.count() <= SETTLED * edges:
+        graph, done = better, done + 1
+        if done >= ROUNDS and fresh.count() <= SETTLED * edges:
             break
     return top(graph, wanted) if wanted < k else graph
 

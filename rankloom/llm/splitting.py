@@ -31,7 +31,7 @@ _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|(?<=[。！？])|\n+\s*")
 _GAP = re.compile(rf"[{SPACE}]+")
 _LEAD = re.compile(rf"[{SPACE}]*")
-_TRAIL = re.compile(rf"[{SPACE}]+$")
+_BLANKS = "".join(c for c in map(chr, range(0x3100)) if _GAP.match(c)) + "\ufeff"
 
 
 @dataclass
@@ -51,9 +51,8 @@ def sections(text: str) -> list[Section]:
     def close(end: int) -> None:
         chunk = text[body:end]
         lead = _LEAD.match(chunk).end()
-        trail = _TRAIL.search(chunk, lead)
         if lead < len(chunk):
-            out.append(Section(list(path), body + lead, body + (trail.start() if trail else len(chunk))))
+            out.append(Section(list(path), body + lead, body + len(chunk.rstrip(_BLANKS))))
 
     for line in text.split("\n"):
         following = at + len(line) + 1
@@ -110,7 +109,7 @@ class Cutter:
         out, start, done = [], 0, 0
         while done < len(self.body):
             end = len(self.body) if self.reach(start) >= len(self.body) else self.cut(start, done)
-            trimmed = start + len(_TRAIL.sub("", self.body[start:end]))
+            trimmed = start + len(self.body[start:end].rstrip(_BLANKS))
             if trimmed > start:
                 out.append((start, trimmed))
             start, done = (self.back(start, end), end) if end < len(self.body) else (end, end)
@@ -145,6 +144,6 @@ def split(documents: DataFrame, limit: int = LIMIT_TOKENS, overlap: int = OVERLA
     return documents.select("doc_id", "text").mapInPandas(_split(limit, overlap), SCHEMA)
 
 
-def oversized(pieces: DataFrame, limit: int = LIMIT_TOKENS) -> DataFrame:
-    """The sections that had to be cut, by the offset of their body."""
-    return pieces.where((F.col("section_chars") > limit * CHARS_PER_TOKEN) & (F.col("char_start") == F.col("section_start"))).select("doc_id", F.col("section_start").alias("char_start")).distinct()
+def oversized(pieces: DataFrame) -> DataFrame:
+    """The sections that had to be cut, by the offset of their body: those with a piece that begins inside."""
+    return pieces.where(F.col("char_start") > F.col("section_start")).select("doc_id", F.col("section_start").alias("char_start")).distinct()

@@ -86,11 +86,11 @@ def _breaks(data: bytes, start: int, end: int) -> np.ndarray:
     return np.flatnonzero((a[1:-1] == 32) & _SOLID[a[:-2]] & _WORDLIKE[a[2:]]) + 1 + start if len(a) > 2 else np.zeros(0, np.int64)
 
 
-def plan(data: bytes, enc, mean: int = MEAN_PIECE) -> list[tuple[bytes, int, int, list[int]]]:
+def plan(data: bytes, enc, mean: int = MEAN_PIECE, repair: bool = True) -> list[tuple[bytes, int, int, list[int]]]:
     """The pieces of a text with the repair of each: (piece, ids to drop at its start, at its end, ids to put after it).
 
     Joined as ``ids[drop_start : len - drop_end] + extra`` in order, they are exactly the ids of the whole text. Where a
-    piece has no place of agreement in reach, the pieces are encoded as one.
+    piece has no place of agreement in reach, the pieces are encoded as one. Without ``repair`` the pieces alone are right.
     """
     places, safe = cuts(np.frombuffer(data, np.uint8), mean)
     edges = [0, *places.tolist(), len(data)]
@@ -110,6 +110,9 @@ def plan(data: bytes, enc, mean: int = MEAN_PIECE) -> list[tuple[bytes, int, int
     keep.append(len(data))
     out = []
     for a, b in zip(keep, keep[1:]):
+        if not repair:
+            out.append((data[a:b], 0, 0, []))
+            continue
         start = len(enc.encode_ordinary(text(a, joins[a][1]))) if a in joins else 0
         end, extra = 0, []
         if b in joins:
@@ -119,14 +122,15 @@ def plan(data: bytes, enc, mean: int = MEAN_PIECE) -> list[tuple[bytes, int, int
     return out
 
 
-USES = "doc_id bigint, seq int, drop_start int, drop_end int, extra array<int>, key binary"
+USES = "doc_id bigint, whole bigint, seq int, drop_start int, drop_end int, extra array<int>, key binary"
 
 
-def _plans(batches: Iterator[pd.DataFrame], folder: str, vocabulary: str, mean: int):
+def _plans(batches: Iterator[pd.DataFrame], folder: str, vocabulary: str, mean: int, repair: bool = True):
     enc = encoder(folder, vocabulary)
     for pdf in slices(batches):
         for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            yield doc, plan((text or "").encode("utf-8", "replace"), enc, mean)
+            data = (text or "").encode("utf-8", "replace")
+            yield doc, data, plan(data, enc, mean, repair)
 
 
 def _in_frames(rows: Iterator[tuple], names: list[str], size: int = 5_000) -> Iterator[pd.DataFrame]:
@@ -142,16 +146,16 @@ def _in_frames(rows: Iterator[tuple], names: list[str], size: int = 5_000) -> It
 def _uses(folder: str, vocabulary: str, mean: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plans = _plans(batches, folder, vocabulary, mean)
-        rows = ((doc, seq, start, end, extra or None, xxhash.xxh3_128_digest(piece)) for doc, pieces in plans for seq, (piece, start, end, extra) in enumerate(pieces))
-        yield from _in_frames(rows, ["doc_id", "seq", "drop_start", "drop_end", "extra", "key"])
+        rows = ((doc, whole, seq, start, end, extra or None, xxhash.xxh3_128_digest(piece)) for doc, data, pieces in plans for whole in (xxhash.xxh3_64_intdigest(data) >> 1,) for seq, (piece, start, end, extra) in enumerate(pieces))
+        yield from _in_frames(rows, ["doc_id", "whole", "seq", "drop_start", "drop_end", "extra", "key"])
 
     return run
 
 
 def _distinct_pieces(folder: str, vocabulary: str, mean: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plans = _plans(batches, folder, vocabulary, mean)
-        yield from _in_frames(((xxhash.xxh3_128_digest(p[0]), p[0]) for _, pieces in plans for p in pieces), ["key", "piece"])
+        plans = _plans(batches, folder, vocabulary, mean, repair=False)
+        yield from _in_frames(((xxhash.xxh3_128_digest(p[0]), p[0]) for *_, pieces in plans for p in pieces), ["key", "piece"])
 
     return run
 
@@ -189,8 +193,8 @@ def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, mean: int = MEAN_PIECE) -> DataFrame:
     """doc_id and ids of every text, without special tokens and without any clean-up.
 
-    Null and empty texts both give an empty list; blank ones are encoded. A doc_id that occurs twice with the same text counts once.
-    Ids must be below 65 536, since they travel in two bytes. The texts are cut twice (cheap), so that nothing but distinct
+    Null and empty texts both give an empty list; blank ones are encoded. A doc_id that occurs twice with the same text counts once, with different texts once for each.
+    Ids must be below 65 536, since they travel in two bytes. The texts are cut twice (cheap; joins are repaired once), so that nothing but distinct
     pieces, keys and packed ids is shuffled and no copy of the corpus is written; a piece that a third of all texts share is
     one row of the dictionary, and its uses are split by the engine's skew join.
     """
@@ -198,7 +202,7 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: st
     pieces = texts.mapInPandas(_distinct_pieces(folder, vocabulary, mean), "key binary, piece binary")
     encoded = pieces.dropDuplicates(["key"]).mapInPandas(_encode(folder, vocabulary), "key binary, packed binary")
     uses = texts.mapInPandas(_uses(folder, vocabulary, mean), USES).join(encoded, "key")
-    parts = uses.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("seq", "drop_start", "drop_end", "extra", "packed"))).alias("p"))
+    parts = uses.groupBy("doc_id", "whole").agg(F.sort_array(F.collect_set(F.struct("seq", "drop_start", "drop_end", "extra", "packed"))).alias("p"))
     repaired = F.exists("p", lambda x: (x["drop_start"] > 0) | (x["drop_end"] > 0) | x["extra"].isNotNull())
     each = lambda name: F.transform("p", lambda x: x[name])
     columns = [each("packed").alias("packed"), *[F.when(repaired, each(c)).alias(a) for c, a in (("drop_start", "starts"), ("drop_end", "ends"), ("extra", "extras"))]]

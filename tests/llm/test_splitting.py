@@ -55,3 +55,12 @@ def test_oversized_sections_of_a_table(spark):
     assert got == {("a", 7), ("c", 4), (None, 7)}
     assert S.split(df.limit(0)).collect() == []
     assert max(r.char_end - r.char_start for r in S.split(df).collect()) <= 1040
+
+
+def test_long_runs_of_blanks_take_linear_time():
+    import time
+
+    began = time.time()
+    text = "word" + " " * 200_000 + "word" + "\n" * 200_000
+    assert all(b - a <= 1040 for s in S.sections(text) for a, b in S.Cutter(text[s.start : s.end]).pieces())
+    assert time.time() - began < 5

@@ -54,3 +54,9 @@ def test_same_as_the_other_library():
     t.encode_special_tokens = True
     for text in ("Hello  world 123's", "añb\u00a0c\n\n x", "<|endoftext|>", "😀" * 9):
         assert K.encoder().encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = "first text " * 300, "another one " * 200
+    got = sorted((list(r.ids) for r in K.encode_corpus(spark.createDataFrame([(1, a), (1, b), (1, a)], "doc_id long, text string")).collect()), key=len)
+    assert got == sorted((K.encoder().encode_ordinary(t) for t in (a, b)), key=len)
