@@ -33,7 +33,7 @@ SCORES = 1_000_000
 #: Items are searched in blocks of so many, each with a pass over the corpus: what a task holds doesn't grow with the items.
 ITEMS_A_PASS = 5_000
 
-_TAG = re.compile(r"<[^<>]{0,2000}>")
+_TAG = re.compile(r"<[^<>]*>")
 _UNICODE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _ESCAPE = re.compile(r"\\[nrtbf]")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
