@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.plans import corpus_queries, evaluation_queries, graph_queries, ingest_queries, more_queries, retrieval_queries, strategy_queries, stream_queries, text_queries
+from rankloom.plans import corpus_queries, evaluation_queries, graph_queries, ingest_queries, more_queries, retrieval_queries, store_queries, strategy_queries, stream_queries, text_queries
 
-MODULES = [retrieval_queries, evaluation_queries, graph_queries, corpus_queries, strategy_queries, stream_queries, more_queries, text_queries, ingest_queries]
+MODULES = [retrieval_queries, evaluation_queries, graph_queries, corpus_queries, strategy_queries, stream_queries, more_queries, text_queries, ingest_queries, store_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,8 +6,10 @@ A corpus is (doc_id, title, category, text); questions are (query_id, text). Eve
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -130,13 +132,25 @@ def run(items: DataFrame, search: Callable[[DataFrame], DataFrame], ix: Index, s
     return rows.withColumn("strategy", F.lit(strategy)).withColumn("error", F.lit(None).cast("string"))
 
 
-def trace(steps: list[tuple[str, str, DataFrame]]) -> DataFrame:
-    """STR-7: (query_id, nth, name, detail, candidates) of the steps of a search, each with its candidates."""
-    out = None
-    for nth, (name, detail, hits) in enumerate(steps):
-        one = hits.groupBy("query_id").agg(F.count("*").alias("candidates")).select("query_id", F.lit(nth).alias("nth"), F.lit(name).alias("name"), F.lit(detail).alias("detail"), "candidates")
-        out = one if out is None else out.unionByName(one)
-    return out
+class Trace:
+    """STR-7: the steps of a search for all questions at once, each with its candidates and the time since the step before."""
+
+    def __init__(self) -> None:
+        self.at = time.monotonic()
+        self.steps: list[DataFrame] = []
+
+    def step(self, name: str, detail: str, hits: DataFrame) -> DataFrame:
+        """Computes the hits (query_id, ...) of a step once, notes it, and gives them back."""
+        hits = cut(hits)
+        now = time.monotonic()
+        counted = hits.groupBy("query_id").agg(F.count("*").alias("candidates"))
+        self.steps.append(counted.select("query_id", F.lit(len(self.steps)).alias("nth"), F.lit(name).alias("name"), F.lit(detail).alias("detail"), "candidates", F.lit(round((now - self.at) * 1000)).cast("long").alias("latency_ms")))
+        self.at = time.monotonic()
+        return hits
+
+    def rows(self) -> DataFrame:
+        """(query_id, nth, name, detail, candidates, latency_ms) of all steps."""
+        return reduce(DataFrame.unionByName, self.steps)
 
 
 # Limits of a request.
@@ -158,4 +172,4 @@ def validated(strategies: list[str], questions: int, demo_corpus: bool, demo_que
     return chosen
 
 
-__all__ = ["Index", "T", "advanced", "advanced_pro", "baseline", "graphrag", "index", "query_plan", "run", "trace", "validated"]
+__all__ = ["Index", "T", "Trace", "advanced", "advanced_pro", "baseline", "graphrag", "index", "query_plan", "run", "validated"]

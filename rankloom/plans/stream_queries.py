@@ -28,7 +28,7 @@ def replay_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def running_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """STM-5: figures by type."""
+    """STM-5, MTH-8: figures by type, with the running mean."""
     return E.progress(_events(spark, folder), "event_type")
 
 
