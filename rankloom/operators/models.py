@@ -36,14 +36,21 @@ def embed_text(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
     return (v / n if n else v).astype(np.float32)
 
 
-def embed(rows: DataFrame, column: str = "text", dimensions: int = DIMENSIONS, into: str = "embedding") -> DataFrame:
-    """MDL-1: rows with a vector of a text column, embedded in batches."""
+def embed_batch(texts: list[str], dimensions: int = DIMENSIONS) -> list[np.ndarray]:
+    """The offline embedding port: a vector for each of at most BATCH texts, in their order."""
+    return [embed_text(t, dimensions) for t in texts]
+
+
+def embed(rows: DataFrame, column: str = "text", dimensions: int = DIMENSIONS, into: str = "embedding", port: Callable[[list[str], int], list] = embed_batch) -> DataFrame:
+    """MDL-1: rows with a unit vector of a text column, asked of the port in batches of BATCH texts; a null text counts as a blank one."""
     names = rows.columns
     out = rows.withColumn(into, F.lit(None).cast("array<float>")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(**{into: [embed_text(t if isinstance(t, str) else "", dimensions).tolist() for t in pdf[column]]})[[*names, into]]
+            texts = [t if isinstance(t, str) else "" for t in pdf[column]]
+            found = [np.asarray(v, np.float64) for a in range(0, len(texts), BATCH) for v in port(texts[a : a + BATCH], dimensions)]
+            yield pdf.assign(**{into: [(v / (np.linalg.norm(v) or 1.0)).astype(np.float32).tolist() for v in found]})[[*names, into]]
 
     return rows.mapInPandas(run, out)
 
@@ -118,6 +125,90 @@ def ask(prompts: DataFrame, port: Callable[[dict], str], recorded: DataFrame | N
     return prompts.join(replies, "key", "left")
 
 
+def judging(port: Callable[[dict], str]) -> Callable[[dict], str]:
+    """MDL-3: a port whose reply must be a JSON object: one that isn't is asked for once more, tersely; then it is an error."""
+
+    def ask_twice(payload: dict) -> str:
+        for terse in (False, True):
+            reply = port(payload | {"terse": True} if terse else payload)
+            try:
+                if isinstance(json.loads(reply), dict):
+                    return reply
+            except (TypeError, ValueError):
+                continue
+        raise ModelError("no valid verdict in two replies", 400)
+
+    return ask_twice
+
+
+# Units asked about together, and the most entities and relationships taken of one reply.
+UNITS_A_CALL, MOST_FOUND = 3, 8
+_NAME = re.compile(r"[A-Z][\w&'-]*(?: (?:of|the|and|de|of the) (?=[A-Z])| [A-Z][\w&'-]*)+|\b[A-Z]{2,}\b")
+
+
+def find_names(texts: list[str]) -> dict:
+    """The offline extraction port: names by capitals, related where they share a sentence."""
+    entities: dict[str, str] = {}
+    related: dict[tuple[str, str], str] = {}
+    for sentence in (s for t in texts for s in re.split(r"(?<=[.!?])\s+|\n+", t)):
+        names = list(dict.fromkeys(m[0] for m in _NAME.finditer(sentence)))
+        for n in names:
+            entities.setdefault(n, sentence[:200])
+        for a, b in zip(names, names[1:]):
+            related.setdefault((a, b), sentence[:200])
+    return {"entities": [{"name": n, "type": "CONCEPT", "description": d} for n, d in entities.items()], "relationships": [{"source": a, "target": b, "description": d, "weight": 1} for (a, b), d in related.items()]}
+
+
+FOUND = "seq bigint, kind string, name string, type string, description string, source string, target string, weight double, units array<string>"
+
+
+def extract_graph(units: DataFrame, port: Callable[[list[str]], dict] = find_names) -> DataFrame:
+    """GRF-1, MDL-7: what a model finds in units (nth from 0, unit, text): rows of kind entity or relationship, seq in the order found.
+
+    UNITS_A_CALL units in a row are one call, of which MOST_FOUND entities and as many relationships are taken; a call that fails or
+    gives no valid reply is left out. An entity belongs to the units of its call that hold its name, to all of them where none does.
+    merge_entities and merge_relationships take it from here. Null texts are empty ones.
+    """
+    calls = units.groupBy(F.floor(F.col("nth") / UNITS_A_CALL).cast("long").alias("call")).agg(F.sort_array(F.collect_list(F.struct("nth", F.col("unit").cast("string").alias("unit"), F.coalesce("text", F.lit("")).alias("text")))).alias("u"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for call, u in zip(pdf["call"], pdf["u"]):
+                try:
+                    reply = retried(lambda: port([x["text"] for x in u]))  # noqa: B023
+                    entities, related = list(reply.get("entities") or [])[:MOST_FOUND], list(reply.get("relationships") or [])[:MOST_FOUND]
+                    made = []
+                    for n, e in enumerate(entities):
+                        inside = [x["unit"] for x in u if str(e["name"]).lower() in x["text"].lower()] or [x["unit"] for x in u]
+                        made.append((call * 100 + n, "entity", str(e["name"]), e.get("type"), e.get("description"), None, None, None, inside))
+                    for n, r in enumerate(related):
+                        made.append((call * 100 + MOST_FOUND + n, "relationship", None, None, r.get("description"), str(r["source"]), str(r["target"]), float(r.get("weight") or 1), [x["unit"] for x in u]))
+                except Exception:  # a failed call is skipped, the others go on
+                    continue
+                rows += made
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FOUND.split(", ")])
+
+    return calls.mapInPandas(run, FOUND)
+
+
+def global_points(questions: DataFrame, reports: DataFrame) -> DataFrame:
+    """MDL-7: (query_id, community, score): how far each of the communities picked for a question helps, 0 to 100, by shared stems.
+
+    questions: query_id, text, community; reports: community, title, summary.
+    """
+    j = questions.join(reports, "community")
+    return j.select("query_id", "community", F.round(100 * overlap(F.col("text"), F.concat_ws("\n", "title", "summary"))).cast("int").alias("score"))
+
+
+def community_reports(members: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """GRF-13: (community, title, summary, embedding) of communities (community, nth, entity): named by their first member, summarised by the first 25, embedded as title and summary."""
+    first = members.where(F.col("nth") < 25).groupBy("community").agg(F.sort_array(F.collect_list(F.struct("nth", "entity"))).alias("m"))
+    named = first.select("community", F.col("m")[0]["entity"].alias("title"), F.transform("m", lambda x: x["entity"]).alias("names"))
+    told = named.select("community", "title", summarize(F.col("title"), F.col("names")).alias("summary"))
+    return embed(told.withColumn("_t", F.concat_ws("\n", "title", "summary")), "_t", dimensions).drop("_t")
+
+
 # The offline ports, as column expressions where that is enough.
 
 

@@ -12,7 +12,7 @@ from rankloom.plans import strategies as R
 from rankloom.plans.graph_queries import _MEM, _asked_communities, _entities, _members
 from rankloom.plans.retrieval_queries import DENSE, STEMS, _bm25_sql, _dense
 
-from rankloom.session import cut, shared_dir, table
+from rankloom.session import cut, numbered, shared_dir, table
 from rankloom.sources import store
 
 POOL = 20
@@ -94,7 +94,26 @@ def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
     return a.select(F.md5("question").alias("q"), F.md5(F.coalesce("answer", F.lit("-"))).alias("a"), "strategy", j.alias("j")).select("q", "a", "strategy", "j.*")
 
 
-QUERIES = {f.__name__: f for f in (stored_upsert, store_states, graph_round_trip, search_trace, dense_bm25_hybrid, rerank_scores, judged_answers)}
+def community_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """GRF-13: every community's title and summary, which are embedded together."""
+    return P.community_reports(_members(spark, folder)).select("community", "title", "summary", F.size("embedding").alias("dimensions"))
+
+
+def report_points(spark: SparkSession, folder: str) -> DataFrame:
+    """MDL-7: how far each community's report helps with its own title as the question."""
+    reports = P.community_reports(_members(spark, folder)).select("community", "title", "summary")
+    q = table(spark, folder, "graph_communities").where("title is not null").select(F.col("seq").alias("query_id"), F.col("title").alias("text"), F.col("id").alias("community"))
+    return P.global_points(q, reports)
+
+
+def extracted_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """GRF-1, AGG-10: names found in chunks, three chunks a call, merged."""
+    units = numbered(_version(spark, folder, F.max_by).where("strategy = 'advanced'").select("chunk_id", "text"), ["chunk_id"], "nth")
+    found = P.extract_graph(units.select("nth", F.col("chunk_id").alias("unit"), "text")).where("kind = 'entity'")
+    return G.merge_entities(found.select("seq", "name", "type", "description")).select("entity", "name", "type", "degree")
+
+
+QUERIES = {f.__name__: f for f in (community_reports, report_points, extracted_entities, stored_upsert, store_states, graph_round_trip, search_trace, dense_bm25_hybrid, rerank_scores, judged_answers)}
 
 _KEPT = "from stored_chunks where strategy is not null and chunk_id is not null"
 _OF = lambda column: STEMS.replace("lower(text)", f"lower({column})")
@@ -102,6 +121,9 @@ _SHARE = lambda a, b: f"coalesce(len(list_intersect(list_distinct({a}), list_dis
 _XOR = "lambda a, c: ((xor(a, c)::hugeint * {m}) % 4294967296)::bigint"
 _DIGITS = "substr('0123456789abcdefghijklmnopqrstuvwxyz', (({n} // power(36, i)::bigint) % 36 + 1)::int, 1)"
 SQL = {
+    "community_reports": f"with {_MEM} select id as community, entity_ids[1] as title, entity_ids[1] || ': ' || array_to_string(entity_ids[1:25], ', ') as summary, 64::int as dimensions from graph_communities where len(entity_ids) > 0",
+    "report_points": f"""with s as (select seq, id, {_OF('title')} as q, {_OF("(entity_ids[1] || chr(10) || entity_ids[1] || ': ' || array_to_string(entity_ids[1:25], ', '))")} as t from graph_communities where title is not null and len(entity_ids) > 0)
+        select seq as query_id, id as community, round(100 * {_SHARE('q', 't')})::int as score from s""",
     "stored_upsert": f"""with v as (select strategy, chunk_id, arg_min(struct_pack(o := ordinal, t := length(text)), struct_pack(c := created_at, i := id)) as f, arg_max(struct_pack(e := length(embed_text), d := coalesce(len(embedding), -1)), struct_pack(c := created_at, i := id)) as l {_KEPT} group by 1, 2)
         select strategy, chunk_id, f.o as ordinal, f.t::int as n_text, l.e::int as n_embedded, l.d::int as dimensions from v""",
     "store_states": f"""with v as (select strategy, arg_max(coalesce(len(embedding), -1), struct_pack(c := created_at, i := id)) >= 0 as e {_KEPT} group by strategy, chunk_id), n as (select strategy, count(*) as chunks, count(*) filter (e) as embedded from v group by 1)

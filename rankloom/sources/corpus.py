@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import importlib.util
 import io
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -57,23 +58,33 @@ def _extract_one(name: str, content: bytes) -> tuple[str | None, str | None]:
     ext = name.rsplit(".", 1)[-1].lower()
     if ext in ("txt", "md"):
         return content.decode("utf-8", "replace"), None
-    reader = {"pdf": "pypdf", "docx": "docx"}.get(ext)
-    if reader is None:
+    if ext not in ("pdf", "docx"):
         return None, "unsupported type"
-    if importlib.util.find_spec(reader) is None:
-        return None, f"no reader for .{ext} is installed"
     try:
-        if ext == "pdf":
-            import pypdf
-
-            return "\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(content)).pages), None
-        import docx
-
-        return "\n".join(p.text for p in docx.Document(io.BytesIO(content)).paragraphs), None
+        return (_docx(content) if ext == "docx" else _pdf(content)), None
+    except ImportError:
+        return None, f"no reader for .{ext} is installed"
     except Exception as e:  # a broken file is a row with a problem, not the end of the job
         return None, f"could not be read: {type(e).__name__}"
 
 
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _docx(content: bytes) -> str:
+    """The paragraphs of a Word file, which is a zip of XML."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    marks = {f"{_W}t": lambda e: e.text or "", f"{_W}tab": lambda e: "\t", f"{_W}br": lambda e: "\n"}
+    return "\n\n".join("".join(marks[e.tag](e) for e in p.iter() if e.tag in marks) for p in body.iter(f"{_W}p"))
+
+
+def _pdf(content: bytes) -> str:
+    import pypdf
+
+    return "\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(content)).pages)
+
+
 def extract(files: DataFrame) -> DataFrame:
     """SRC-3: name, text and problem of files (name, content); text files as UTF-8, others by the readers that are installed."""
 

@@ -159,8 +159,21 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "text", sniff(F.col("text")).alias("format")).mapInPandas(_parse, ROWS).withColumn("question_type", question_type(F.col("question_type")))
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """parse_files of the files under a path."""
+def broken(rows: DataFrame) -> DataFrame:
+    """SRC-8, SRC-9: (path, problem) of files that can't be used at all: JSON that isn't valid, or JSON lines none of which is."""
+    bad = F.col("reason") == "not valid JSON"
+    return rows.where(F.col("format") != "csv").groupBy("path", "format").agg(F.min(F.coalesce(bad, F.lit(False))).alias("all_bad")).where("all_bad").select("path", F.when(F.col("format") == "json", "not valid JSON").otherwise("no line is valid JSON").alias("problem"))
+
+
+def read_files(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """parse_files of the files under a path; ``strict`` raises ValueError where a file is broken as a whole."""
+    rows = _read_files(spark, path)
+    if strict and (bad := broken(rows).orderBy("path").first()):
+        raise ValueError(f"{bad.path}: {bad.problem}")
+    return rows
+
+
+def _read_files(spark: SparkSession, path: str) -> DataFrame:
     return parse_files(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 

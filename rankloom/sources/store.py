@@ -103,6 +103,38 @@ def seed(spark: SparkSession, path: str, strategies: dict[str, Callable[[], Data
     return done
 
 
+def migrate(spark: SparkSession, path: str, scripts: dict[str, str], run: Callable[[str], object] | None = None) -> list[str]:
+    """SNK-5: runs the scripts (by version) that haven't been, in order, and gives their versions.
+
+    A lock file beside the table of what was applied keeps others out (RuntimeError where it is held). Every script is recorded
+    as soon as it has run, so one that fails stops there and the next start goes on with it. A script that was
+    changed after it ran, or is missing, is a ValueError and nothing runs. ``run`` executes a statement (default: Spark SQL).
+    """
+    run = run or (lambda sql: spark.sql(sql))
+    jvm = spark.sparkContext._jvm
+    lock = jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+    fs = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        fs.create(lock, False).close()
+    except Exception as e:
+        raise RuntimeError(f"{path}: another migration holds the lock") from e
+    try:
+        schema = "version string, checksum string"
+        applied = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+        states = {r.version: r.state for r in migration_states(spark.createDataFrame(list(scripts.items()), "version string, sql string"), applied).collect()}
+        if wrong := sorted(v for v, s in states.items() if s in ("modified", "missing")):
+            raise ValueError(f"scripts changed or missing since they ran: {', '.join(wrong)}")
+        done = []
+        for version in sorted(v for v, s in states.items() if s == "pending"):
+            for statement in filter(str.strip, scripts[version].split(";\n")):
+                run(statement)
+            spark.createDataFrame([(version, scripts[version])], "version string, sql string").select("version", checksum(F.col("sql")).alias("checksum")).coalesce(1).write.mode("append").parquet(path)
+            done.append(version)
+        return done
+    finally:
+        fs.delete(lock, False)
+
+
 def checksum(c):
     """The first 16 digits of a digest of a script, whatever its line ends."""
     return F.left(F.sha2(F.replace(c, F.lit("\r\n"), F.lit("\n")).cast("binary"), 256), F.lit(16))
