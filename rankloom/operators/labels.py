@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rankloom.functions import text as T
+from rankloom.session import cut
 
 KEYWORD_WEIGHT, ANSWER_WEIGHT = 0.6, 0.4
 THRESHOLD = 0.5
@@ -29,6 +30,7 @@ def keyword_hits(items: DataFrame, chunks: DataFrame) -> DataFrame:
         F.transform(_pieces(c), lambda w: F.concat(F.lit("p:"), w)), F.transform(F.split(c, " "), lambda w: F.concat(F.lit("s:"), T.stem(w))))
     wanted = keys.select("k").distinct().select("k", F.explode(F.array_distinct(tokens(F.col("k")))).alias("token"))
     there = prepared.select("doc_id", F.explode_outer(F.array_distinct(tokens(F.col("h")))).alias("token")).where("token is not null").join(wanted.select("token").distinct(), "token", "left_semi")
+    there = cut(there)  # read twice; only tokens of keywords are left
     counts = there.groupBy("token").agg(F.count("*").alias("df"))
     known = wanted.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("kind", F.left("token", F.lit(2)))
     rarest = known.groupBy("k", "kind").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.min("df").alias("df")).where("df > 0")

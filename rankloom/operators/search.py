@@ -104,6 +104,10 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+#: A term that no text has.
+EVERY = "\u0000"
+
+
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """BM25 of queries (query_id, text) over a corpus (doc_id, text): the k best with a positive score.
 
@@ -111,9 +115,12 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     hold is split by the engine's skew join. Scores are rounded to nine digits.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(T.stems(F.col("text")))).alias("term"))
-    counted = terms(corpus)
-    totals = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    posted = cut(postings(counted, q))
+    # Every text has a term of its own kind beside its words, so that one pass over the texts gives the postings and the totals.
+    every = terms(corpus).withColumn("words", F.array_append("words", F.lit(EVERY)))
+    wanted = q.select("term").unionByName(queries.sparkSession.createDataFrame([(EVERY,)], "term string"))
+    held = cut(postings(every, wanted))
+    posted = held.where(F.col("term") != EVERY)
+    totals = held.where(F.col("term") == EVERY).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("docs"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean"))
     frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
     weight = idf(F.col("docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     asked = q.join(frequency, "term")

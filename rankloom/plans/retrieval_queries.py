@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankloom.functions import text as T
 from rankloom.operators import labels as L, metrics as M, search as S
 from rankloom.plans.text_queries import CONTENT, STOP, WS, sql_stem
-from rankloom.session import latest, table
+from rankloom.session import cut, latest, table
 
 K = 5
 POOL = 20
@@ -91,14 +91,18 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _bm25(spark, folder).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _by_start(spark: SparkSession, folder: str) -> DataFrame:
-    """A second ranked list: BM25 with the first eight words of each item."""
-    q = _asked(spark, folder).select("query_id", F.array_join(F.slice(T.tokenize(F.col("text")), 1, 8), " ").alias("text"))
-    return S.bm25_topk(q, _corpus(spark, folder), POOL)
+def _two_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """BM25 with whole items and with their first eight words; the corpus is posted once for both."""
+    start = F.array_join(F.slice(T.tokenize(F.col("text")), 1, 8), " ")
+    asked = _asked(spark, folder)
+    tagged = lambda n, text: asked.select(F.struct(F.lit(n).alias("list"), "query_id").alias("query_id"), text.alias("text"))
+    hits = cut(S.bm25_topk(tagged(0, F.col("text")).unionByName(tagged(1, start)), _corpus(spark, folder), POOL))
+    first, second = (hits.where(F.col("query_id.list") == n).withColumn("query_id", F.col("query_id.query_id")) for n in (0, 1))
+    return first, second
 
 
 def _fused(spark: SparkSession, folder: str, first: float, second: float) -> DataFrame:
-    return S.fuse([(_bm25(spark, folder), first), (_by_start(spark, folder), second)], POOL)
+    return S.fuse(list(zip(_two_lists(spark, folder), (first, second))), POOL)
 
 
 def rrf_hybrid(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,8 +117,8 @@ def rrf_weighted(spark: SparkSession, folder: str) -> DataFrame:
 
 def deduped_hits(spark: SparkSession, folder: str) -> DataFrame:
     """SCH-5: both lists one after the other, each document at its earliest place."""
-    second = _by_start(spark, folder).withColumn("rank", F.col("rank") + POOL)
-    return S.dedupe(_bm25(spark, folder).unionByName(second)).select("query_id", "doc_id", "rank")
+    first, second = _two_lists(spark, folder)
+    return S.dedupe(first.unionByName(second.withColumn("rank", F.col("rank") + POOL))).select("query_id", "doc_id", "rank")
 
 
 def looked_up_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,7 +172,11 @@ def _plain(spark: SparkSession, folder: str) -> DataFrame:
 
 def relevance_labels(spark: SparkSession, folder: str) -> DataFrame:
     """LBL-1: the positive grades of all chunks for each question, gold chunks left aside."""
-    return L.grades(_plain(spark, folder), chunks(spark, folder))
+    return _labels(spark, folder, cut(chunks(spark, folder)))
+
+
+def _labels(spark: SparkSession, folder: str, held: DataFrame) -> DataFrame:
+    return L.grades(cut(_plain(spark, folder)), held)
 
 
 def relevance_gold(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,16 +189,17 @@ def relevance_rescue(spark: SparkSession, folder: str) -> DataFrame:
     return L.rescue(relevance_labels(spark, folder)).withColumn("relevant", F.col("grade") >= L.THRESHOLD)
 
 
-def _question_hits(spark: SparkSession, folder: str) -> DataFrame:
+def _question_hits(spark: SparkSession, folder: str, held: DataFrame | None = None) -> DataFrame:
     q = items(spark, folder).select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
-    return S.bm25_topk(q, chunks(spark, folder), POOL)
+    return S.bm25_topk(q, chunks(spark, folder) if held is None else held, POOL)
 
 
 def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """MET-1..6, MET-10, JN-6: BM25 over the chunks scored by the labels."""
     q = items(spark, folder).select(F.col("item_id").alias("query_id"))
-    labels = L.rescue(relevance_labels(spark, folder)).withColumnRenamed("item_id", "query_id")
-    return M.evaluate(q, _question_hits(spark, folder), labels)
+    held = cut(chunks(spark, folder))  # the texts are read by labels and search
+    labels = L.rescue(_labels(spark, folder, held)).withColumnRenamed("item_id", "query_id")
+    return M.evaluate(q, _question_hits(spark, folder, held), labels)
 
 
 def context_coverage(spark: SparkSession, folder: str) -> DataFrame:
