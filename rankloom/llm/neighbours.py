@@ -117,9 +117,9 @@ def _in_cells(k: int, dimensions: int):
 
 
 def top(edges: DataFrame, k: int) -> DataFrame:
-    """The k best edges of each node; of equal similarity the smaller key first."""
+    """The k best edges of each node; of equal similarity the smaller key first. One shuffle serves both the copies and the ranking."""
     w = Window.partitionBy("key").orderBy(F.desc("sim"), "other")
-    return edges.groupBy("key", "other").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    return edges.repartition("key").groupBy("key", "other").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
 def start(vectors: DataFrame, total: int, k: int, dimensions: int) -> DataFrame:
@@ -161,7 +161,8 @@ def _tell(k: int, dimensions: int):
                     i_at, j_at = at[g, i], at[g, j]
                     new = (keys[i_at] != keys[j_at]) & (near[i_at] != keys[j_at][:, None]).all(1)
                     if new.any():
-                        yield pd.DataFrame({"key": keys[i_at[new]], "other": keys[j_at[new]], "sim": s[g, i, j][new]}).drop_duplicates(["key", "other"])
+                        told = pd.DataFrame({"key": keys[i_at[new]], "other": keys[j_at[new]], "sim": s[g, i, j][new]}).drop_duplicates(["key", "other"]).sort_values(["key", "sim", "other"], ascending=[True, False, True])
+                        yield told[told.groupby("key").cumcount() < k]  # no more than k of a node can stay
 
     return run
 
