@@ -60,7 +60,8 @@ def test_oversized_cells_are_halved(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.95
 
 
-def test_descent_is_what_finds_the_neighbours(spark):
+def test_descent_finds_the_neighbours_from_a_weak_start(spark, monkeypatch):
+    monkeypatch.setattr(N, "WAYS", 3)
     m = rng.standard_normal((3000, 64))
     m += np.repeat(rng.standard_normal((100, 64)) * 1.5, 30, axis=0)
     ids = list(range(3000))
@@ -68,7 +69,7 @@ def test_descent_is_what_finds_the_neighbours(spark):
     want = _brute(ids, m, 5)
     recall = lambda g: len({(r.key, r.other) for r in g.collect()} & want) / len(want)
     begun, built = recall(N.start(nodes, 3000, 5, 64)), recall(N.build(nodes))
-    assert begun < 0.93 and built >= 0.95, (begun, built)
+    assert begun < built - 0.03 and built >= 0.95, (begun, built)
 
 
 def test_greedy_search_recall(spark):
