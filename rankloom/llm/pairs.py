@@ -5,6 +5,7 @@ left either way, nor of the words that the question hasn't.
 Refusals and languages: dictionaries of phrases and of words; the words of a language are learned, beyond the
 common ones given here, from the pairs themselves. Truncation: a terminal-context model, learned from complete sentences,
 says whether the last words of an answer can end one; lists must have the length they announce, brackets and code must be closed.
+Words and contexts are counted over all pairs.
 """
 
 from __future__ import annotations
@@ -14,20 +15,20 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from rankloom.llm.batches import slices
+from rankloom.session import cut
 from rankloom.sources.records import strip_blank
 
 DEFECTS = ["empty", "copy", "refusal", "language", "truncated"]
-#: The models are fitted on at most so many pairs.
-SAMPLE = 20_000
 MIN_COUNT = 4
 #: How hard the compressor works; pairs are short, so more gains nothing.
 LEVEL = 3
@@ -38,6 +39,8 @@ NEW, UNSAID = 0.4, 0.5
 NEW_WORDS = 0.5
 #: Questions kept by a task at a time.
 QUESTIONS = 10_000
+#: Counts and words added up in a task before they are sent on.
+KEPT = 200_000
 #: A word that ends a sentence in fewer than this share of its uses, of which there are MIN_USES at least, ends no answer.
 ENDS = 0.01
 MIN_USES = 12
@@ -149,12 +152,12 @@ def _stopped(text: str) -> bool:
 
 @dataclass
 class Model:
-    """Word dictionaries by language, and how often a context ends a sentence."""
+    """Word dictionaries by language, and the contexts that hardly ever end a sentence."""
 
     languages: dict[str, str] = field(default_factory=dict)
     known: set[str] = field(default_factory=set)
     sorted: list[str] = field(default_factory=list)
-    ends: dict[tuple[str, ...], float] = field(default_factory=dict)
+    inner: set[tuple[str, ...]] = field(default_factory=set)
     _fitting: dict[str, set[str]] = field(default_factory=dict)
     _asked: dict[str, "Asked"] = field(default_factory=dict)
 
@@ -221,24 +224,36 @@ class Asked:
         self.helped: zstandard.ZstdCompressor | None = None
 
 
-def _learn(model: Model, texts: list[tuple[str, list[str]]]) -> None:
-    """Words that occur, over different questions, almost only in one language; capitalised ones need more evidence, for they may be names."""
-    by_word: dict[str, Counter] = defaultdict(Counter)
-    small: Counter[str] = Counter()
-    langs = Counter(lang for lang, _ in texts)
-    for lang, own in texts:
-        forms = {w for t in own for w in _LETTERS.findall(t)}
-        for w in {f.lower() for f in forms}:
-            by_word[w][lang] += 1  # once for each question: a name of one question is no word of its language
-            small[w] += w in forms
-    model.languages = {}
-    for w, c in by_word.items():
-        lang, n = c.most_common(1)[0]
-        seen = sum(c.values())
-        plain = small[w] * 2 >= seen
-        surprise = n * math.log(sum(langs.values()) / langs[lang])
-        if len(w) > 1 and n >= MIN_COUNT and (plain and n >= PURITY * seen or n >= 0.97 * seen and surprise >= 12):
-            model.languages[w] = lang
+#: (questions with a word, those of them that have it in small letters) by word and language; questions of a language at the empty word.
+Words = dict[tuple[str, str], list[int]]
+
+
+def _count(words: Words, lang: str, forms: Iterable[str]) -> None:
+    """Adds a question, with the answers that fit it: a word counts once for each question, for a name of one question is no word of its language."""
+    forms = set(forms)
+    for w in {"", *(f.lower() for f in forms)}:
+        n = words[w, lang]
+        n[0] += 1
+        n[1] += w in forms
+
+
+def _tells(word: str, n: int, small: int, seen: int, rarity: float) -> bool:
+    """A word that seen questions have, n of them in one language, is of that language; capitalised ones need more evidence, for they may be names."""
+    return len(word) > 1 and n >= MIN_COUNT and (2 * small >= seen and n >= PURITY * seen or n >= 0.97 * seen and n * rarity >= 12)
+
+
+def _rarities(langs: dict[str, int]) -> dict[str, float]:
+    return {lang: math.log(sum(langs.values()) / n) for lang, n in langs.items()}
+
+
+def _learn(words: Words) -> dict[str, str]:
+    """Words that occur, over different questions, almost only in one language."""
+    rarity = _rarities({lang: n for (w, lang), (n, _) in words.items() if not w})
+    by_word: dict[str, list[tuple[int, str, int]]] = defaultdict(list)
+    for (w, lang), (n, small) in words.items():
+        by_word[w].append((n, lang, small))
+    best = {w: (*max(of), sum(n for n, _, _ in of), sum(small for _, _, small in of)) for w, of in by_word.items()}
+    return {w: lang for w, (n, lang, _, seen, small) in best.items() if _tells(w, n, small, seen, rarity[lang])}
 
 
 def _telling(text: str, model: Model) -> list[str]:
@@ -256,39 +271,75 @@ def _share(words: list[str], asked: Asked) -> float:
     return sum(map(asked.own.__contains__, words)) / len(words) if words else 1.0
 
 
+class _Question:
+    """A question whose language is known by its common words, and the word forms of it and of the answers that fit it."""
+
+    def __init__(self, question: str):
+        self.lang = common_language(_lower(question))
+        self.forms = set(_LETTERS.findall(question))
+        self.small = {w for w in self.forms if w[0].islower()}
+
+    def add(self, answer: str, model: Model) -> None:
+        own, words = model.fitting(self.lang), _telling(answer, model)
+        if sum(w in own or w in self.small for w in words) >= 0.5 * len(words):
+            self.forms.update(_LETTERS.findall(answer))
+
+
+def _inside(answer: str) -> set[str]:
+    """The words in small letters that the answer doesn't end with."""
+    return {w for w in _LETTERS.findall(answer) if w.islower() and not answer.endswith(w)}
+
+
+def _contexts(answer: str, model: Model) -> tuple[list[tuple[str, ...]], list[tuple[str, ...]]]:
+    """The contexts of one word and of two in the sentences of an answer, and those of them that end one; where none ends, the last ones are left out."""
+    uses, ends = [], []
+    for s in sentences(answer):
+        t = tokens(s, model)
+        if not t:
+            continue
+        uses += zip(t[:-1])
+        uses += zip(["^", *t[:-2]], t[:-1])
+        if _stopped(s):
+            ends += [(t[-1],), (t[-2] if len(t) > 1 else "^", t[-1])]
+    return uses + ends, ends
+
+
+def _hardly(uses: int, ends: int) -> bool:
+    return uses >= MIN_USES and ends / uses < ENDS
+
+
+def _shut(contexts: Iterable[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Contexts of two words count where the last word alone hardly ends a sentence either."""
+    hardly = set(contexts)
+    return {c for c in hardly if c[-1:] in hardly}
+
+
 def fit(questions: list[str], answers: list[str]) -> Model:
-    """Dictionaries and terminal contexts from a sample of pairs, defective ones among them."""
+    """Dictionaries and terminal contexts from all given pairs, defective ones among them; fit_all does the same for a table."""
     model = Model()
-    asked: dict[str, list[str]] = defaultdict(list)
-    for q, a in zip(questions, answers):
-        asked[q].append(a)
-    labels = {q: common_language(_lower(q)) for q in asked}
-    _learn(model, [(lang, [q]) for q, lang in labels.items() if lang])
-    own = {lang: model.fitting(lang) for lang in set(labels.values()) if lang}
-    fits = lambda q, a, lang: sum(w in own[lang] or w in q for w in a) >= 0.5 * len(a)
-    fitting = [(lang, [q, *(a for a in asked[q] if fits({w for w in _LETTERS.findall(q) if w[0].islower()}, _telling(a, model), lang))]) for q, lang in labels.items() if lang]
-    _learn(model, fitting)
-    model._fitting.clear()
-    lower: Counter[str] = Counter()
-    for a in answers:
-        lower.update({w for w in _LETTERS.findall(a) if w.islower() and not a.endswith(w)})
-    model.known = {w for w, n in lower.items() if n >= 2}
-    model.sorted = sorted(model.known)
-    end: Counter = Counter()
+    asked = {q: _Question(q) for q in questions}
+    for learned in (False, True):
+        if learned:
+            for q, a in zip(questions, answers):
+                if asked[q].lang:
+                    asked[q].add(a, model)
+        words: Words = defaultdict(lambda: [0, 0])
+        for q in asked.values():
+            if q.lang:
+                _count(words, q.lang, q.forms)
+        model.languages = _learn(words)
+        model._fitting.clear()
+    inside: Counter[str] = Counter()
     uses: Counter = Counter()
+    ends: Counter = Counter()
     for a in answers:
-        for s in sentences(a):
-            t = tokens(s, model)
-            if not t:
-                continue
-            for i in range(len(t) - 1):
-                uses[(t[i],)] += 1
-                uses[(t[i - 1] if i else "^", t[i])] += 1
-            if _stopped(s):
-                for c in ((t[-1],), (t[-2] if len(t) > 1 else "^", t[-1])):
-                    uses[c] += 1
-                    end[c] += 1
-    model.ends = {c: end[c] / n for c, n in uses.items() if n >= MIN_USES}
+        inside.update(_inside(a))
+        used, ended = _contexts(a, model)
+        uses.update(used)
+        ends.update(ended)
+    model.known = {w for w, n in inside.items() if n >= 2}
+    model.sorted = sorted(model.known)
+    model.inner = _shut(c for c, n in uses.items() if _hardly(n, ends[c]))
     return model
 
 
@@ -467,8 +518,7 @@ def is_truncated(asked: Asked, answer: str, model: Model) -> bool:
     t = tokens(last, model)
     if len(t) < 2 or not end.islower():
         return False  # a name or a number alone may be the answer
-    rate = model.ends.get((t[-2], t[-1]), 1.0)
-    return rate < ENDS and model.ends.get((t[-1],), 1.0) < ENDS
+    return (t[-2], t[-1]) in model.inner
 
 
 def defect(question: str | None, answer: str | None, model: Model) -> str | None:
@@ -497,19 +547,153 @@ def _label(model: Model):
     return run
 
 
-def fit_sample(pairs: DataFrame, size: int = SAMPLE) -> Model:
-    """The models fitted on a sample of at most ``size`` pairs, the same one however the rows are partitioned."""
-    filled = pairs.where("question is not null and answer is not null")
-    total = filled.count()
-    share = 2**30 if total <= size else int(2**30 * 0.95 * size / total)
-    sample = filled.where(F.pmod(F.xxhash64("pair_id", "question"), F.lit(2**30)) < share).select("question", "answer").limit(size).toPandas()
-    return fit(sample["question"].tolist(), sample["answer"].tolist())
+COUNTS = "word string, kind string, n bigint, m bigint"
+
+
+def _rows(counts: Iterable[tuple[str, str, int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(list(counts), columns=["word", "kind", "n", "m"]).astype({"n": "int64", "m": "int64"})
+
+
+def _sent(words: Words) -> pd.DataFrame:
+    """The counts as rows, and none left."""
+    out = _rows((w, lang, n, small) for (w, lang), (n, small) in words.items())
+    words.clear()
+    return out
+
+
+def _question_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words of different questions."""
+    words: Words = defaultdict(lambda: [0, 0])
+    for pdf in slices(batches, "question"):
+        for q in map(_Question, pdf["question"]):
+            if q.lang:
+                _count(words, q.lang, q.forms)
+        if len(words) > KEPT:
+            yield _sent(words)
+    yield _sent(words)
+
+
+FORMS = "question binary, lang string, forms string"
+
+
+def _forms(model: Model):
+    """The word forms of a question and its answers, once for many answers of a task; a digest stands for the question."""
+
+    def sent(asked: dict[str, _Question]) -> pd.DataFrame:
+        known = [(blake2b(text.encode(), digest_size=16).digest(), q.lang, " ".join(q.forms)) for text, q in asked.items() if q.lang]
+        asked.clear()
+        return pd.DataFrame(known, columns=["question", "lang", "forms"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked: dict[str, _Question] = {}
+        size = 0
+        for pdf in slices(batches, "answer"):
+            for text, a in zip(pdf["question"], pdf["answer"]):
+                q = asked.get(text)
+                if q is None:
+                    q = asked[text] = _Question(text)
+                    size += len(q.forms) + 1
+                if q.lang:
+                    size -= len(q.forms)
+                    q.add(a, model)
+                    size += len(q.forms)
+                if size > KEPT:
+                    yield sent(asked)
+                    size = 0
+        yield sent(asked)
+
+    return run
+
+
+def _pair_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words of questions whose rows follow each other."""
+    words: Words = defaultdict(lambda: [0, 0])
+    at, of, forms = None, "", set()
+    for pdf in batches:
+        for question, lang, some in zip(pdf["question"], pdf["lang"], pdf["forms"]):
+            if question != at:
+                if at is not None:
+                    _count(words, of, forms)
+                at, of, forms = question, lang, set()
+            forms.update(some.split(" "))
+        if len(words) > KEPT:
+            yield _sent(words)
+    if at is not None:
+        _count(words, of, forms)
+    yield _sent(words)
+
+
+def _answer_words(model: Model):
+    """Words inside answers, and contexts with how often they end a sentence."""
+
+    def sent(inside: Counter, uses: Counter, ends: Counter) -> pd.DataFrame:
+        out = _rows([*((w, "inside", n, 0) for w, n in inside.items()), *((" ".join(c), "context", n, ends[c]) for c, n in uses.items())])
+        for counts in (inside, uses, ends):
+            counts.clear()
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = inside, uses, ends = Counter(), Counter(), Counter()
+        for pdf in slices(batches, "answer"):
+            for a in pdf["answer"]:
+                inside.update(_inside(a))
+                used, ended = _contexts(a, model)
+                uses.update(used)
+                ends.update(ended)
+            if len(inside) + len(uses) > KEPT:
+                yield sent(*counts)
+        yield sent(*counts)
+
+    return run
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("word", "kind").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _learned(words: DataFrame, langs: dict[str, int]) -> dict[str, str]:
+    """As _learn, from a table of counts: only words that tell a language come to the driver."""
+    if not langs:
+        return {}
+    rarity = F.create_map(*[F.lit(x) for pair in _rarities(langs).items() for x in pair])
+    by_word = words.where("word != ''").groupBy("word").agg(F.max(F.struct("n", "kind")).alias("best"), F.sum("n").alias("seen"), F.sum("m").alias("small"))
+    n, lang, seen = F.col("best.n"), F.col("best.kind"), F.col("seen")
+    plain = (2 * F.col("small") >= seen) & (n >= F.lit(PURITY) * seen)
+    rare = (n >= F.lit(0.97) * seen) & (n * rarity[lang] >= 12)
+    return {r["word"]: r["lang"] for r in by_word.where((F.length("word") > 1) & (n >= MIN_COUNT) & (plain | rare)).select("word", lang.alias("lang")).collect()}
+
+
+def fit_all(pairs: DataFrame) -> Model:
+    """The models fitted on all pairs with a question and an answer, the same ones however the rows are partitioned.
+
+    The pairs are read three times: for the words of the questions, for those of the answers that fit them, and for contexts. Counts are
+    added up in the tasks and by aggregates; the driver gets the dictionaries, which grow with the vocabulary.
+    """
+    model = Model()
+    filled = pairs.where("question is not null and answer is not null").select("question", "answer")
+    words = cut(_summed(filled.select("question").distinct().mapInPandas(_question_words, COUNTS)))
+    langs = {r["kind"]: r["n"] for r in words.where("word = ''").collect()}
+    model.languages = _learned(words, langs)
+    forms = filled.mapInPandas(_forms(model), FORMS).repartition("question").sortWithinPartitions("question")
+    model.languages = _learned(_summed(forms.mapInPandas(_pair_words, COUNTS)), langs)
+    model._fitting.clear()
+    hardly = (F.col("n") >= MIN_USES) & (F.col("m") / F.col("n") < ENDS)
+    answers = _summed(filled.mapInPandas(_answer_words(model), COUNTS)).where((F.col("kind") == "inside") & (F.col("n") >= 2) | (F.col("kind") == "context") & hardly)
+    found = answers.select("word", "kind").collect()
+    model.known = {r["word"] for r in found if r["kind"] == "inside"}
+    model.sorted = sorted(model.known)
+    model.inner = _shut(tuple(r["word"].split(" ")) for r in found if r["kind"] == "context")
+    return model
 
 
 def label(pairs: DataFrame, model: Model | None = None) -> DataFrame:
     """pair_id, defect (null: none) and the flag of every pair of (pair_id, question, answer, truncated); other columns are ignored.
 
     A null or blank answer is empty whatever the question; a null question has no language and can't be copied; repeated
-    rows repeat. The flag is carried along and decides nothing. Whole answers are read.
+    rows repeat. The flag is carried along and decides nothing. Whole answers are read. Without a model, one is fitted on all pairs.
     """
-    return pairs.select("pair_id", "question", "answer", "truncated").mapInPandas(_label(model or fit_sample(pairs)), SCHEMA)
+    rows = pairs.select("pair_id", "question", "answer", "truncated")
+    if model is None:
+        rows = cut(rows)  # read four times
+        model = fit_all(rows)
+    return rows.mapInPandas(_label(model), SCHEMA)

@@ -79,3 +79,39 @@ def test_announced_lists_of_any_length(model):
     assert P.defect(Q[0], f"The fee is $12. There are 120 steps:\n{lines(120)}", model) is None
     for lead in ("In 2024 the desk of the fee did this:", "On May 24 the monthly fee was set:", "The fee is $42 for Bolt Mutual:", "Folio VD-693 of Acme Ledger says of the fee:"):
         assert P.defect(Q[0], f"{lead}\n{lines(2)}", model) is None
+
+
+def _many():
+    """26 000 pairs: each of 2 000 words stands in four French questions, and alone in the answer to an English one; 6 000 answers are to one question."""
+    words = ["".join(chr(97 + int(d)) for d in f"{i:04d}") + "eau" for i in range(2_000)]
+    rows = [(f"Quel est le {words[i // 8]} de la caisse {i} ?" if i % 2 else f"What is the fee of desk {i}?", f"Le {words[i // 8]} de la caisse est prêt pour vous." if i % 2 else f"The fee of desk {i} is settled on the due date.") for i in range(16_000)]
+    return rows + [(f"What is the seal of desk {i}?", w) for i, w in enumerate(words)] + [(Q[0], f"The monthly fee of desk {i} is 12.") for i in range(6_000)] + [(Q[0], None), (None, A[0])] * 1_000
+
+
+def test_words_are_learned_from_all_pairs(spark):
+    table = spark.createDataFrame([(str(i), *r, None) for i, r in enumerate(_many())], "pair_id string, question string, answer string, truncated boolean")
+    seals = P.label(table.repartition(5)).where("pair_id >= 16000 and pair_id < 18000").groupBy("defect").count().collect()
+    assert [tuple(r) for r in seals] == [("language", 2_000)]
+
+
+def test_models_of_a_table_are_those_of_its_pairs(spark):
+    rows = [r for r in _many() if None not in r]
+    fitted = P.fit([q for q, _ in rows], [a for _, a in rows])
+    got = P.fit_all(spark.createDataFrame(_many(), "question string, answer string").repartition(5))
+    assert (got.languages, got.known, got.sorted, got.inner) == (fitted.languages, fitted.known, fitted.sorted, fitted.inner)
+    assert sum(w.endswith("eau") for w in got.languages) == 2_000 and got.inner
+
+
+def test_counts_sent_on_in_parts_add_up(monkeypatch):
+    import pandas as pd
+
+    pdf = pd.DataFrame({"question": Q * 4 + DE * 4, "answer": A * 4 + DA * 4})
+    model = P.fit(Q * 4 + DE * 4, A * 4 + DA * 4)
+    totals = []
+    for kept in (P.KEPT, 3):
+        monkeypatch.setattr(P, "KEPT", kept)
+        parts = lambda: iter([pdf.iloc[i : i + 4] for i in range(0, len(pdf), 4)])
+        forms = pd.concat(P._forms(model)(parts())).sort_values("question")
+        sent = [*P._pair_words(iter([forms.iloc[:3], forms.iloc[3:]])), *P._answer_words(model)(parts())]
+        totals.append(pd.concat(sent).groupby(["word", "kind"])[["n", "m"]].sum())
+    assert totals[0].equals(totals[1]) and totals[0].loc[("", "de"), "n"] == 3 and len(sent) > 2
