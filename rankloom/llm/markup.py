@@ -1,10 +1,10 @@
 """Markup residue: which kinds of markup a text carries, and its clean text with headings, lists, tables, code and formulas kept.
 
 Code (fences, spans, <pre>, <code>, verbatim) and formulas are taken out first and put back last, so nothing inside is read
-as markup. Texts that start as HTML pages or with a block of one lose their navigation, told by composite text density: every node has a link-adjusted
+as markup. Texts that start as HTML pages or with a block of one are parted by composite text density: every node has a link-adjusted
 number of characters per tag, densities of children are summed, and the subtree with the largest sum is the main content.
 Beside it, blocks without headings go that are mostly links and less dense than anything on the path to it; all else is kept,
-what follows the page included. Pages and fragments inside other text are kept whole. Kinds are read from the whole text.
+what follows the page included. Pages and fragments inside other text are kept whole. Kinds are read from what is kept and from what goes.
 """
 
 from __future__ import annotations
@@ -68,21 +68,27 @@ _DELIMITER = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \
 _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$", re.M)
 
 _HOLD = re.compile("\ue000(\\d+)\ue001")
+#: Stands where a block of a page went, so that marks around it are still read as a pair.
+_GONE = "\ue002x\ue002"
+#: Stands for & while a page is parsed, so that entities stay as they are written.
+_AMP = "\ue003"
 
 
 class _Node:
     def __init__(self, tag: str, parent: "_Node | None"):
         self.tag, self.parent, self.children, self.parts = tag, parent, [], []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.linked = tag == "a" or parent is not None and parent.linked
 
 
 class _Tree(HTMLParser):
     VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
     HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 
-    def __init__(self) -> None:
+    def __init__(self, held: list[str]) -> None:
         super().__init__(convert_charrefs=False)
         self.root = self.at = _Node("root", None)
+        self.held, self.gone = held, []
 
     def handle_starttag(self, tag, attrs):
         if self.at.tag == "head" and tag not in self.HEAD:  # an element of the body closes a head left open
@@ -107,15 +113,20 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         self.at.parts.append(data)
-        self.at.chars += len(data.strip())
+        if self.at.tag not in ("script", "style"):
+            self.at.chars += len(_ENTITY.sub("x", _HOLD.sub("", data).replace(_AMP, "&")).strip()) + sum(len(self.held[int(m[1])]) for m in _HOLD.finditer(data))
 
-    def handle_entityref(self, name):
-        self.at.parts.append(f"&{name};")
-        self.at.chars += 1
+    def handle_comment(self, data):
+        self.gone.append(f"<!--{data}-->")
 
-    def handle_charref(self, name):
-        self.at.parts.append(f"&#{name};")
-        self.at.chars += 1
+    def handle_decl(self, decl):
+        self.gone.append(f"<!{decl}>")
+
+    def handle_pi(self, data):
+        self.gone.append(f"<?{data}>")
+
+    def unknown_decl(self, data):
+        self.gone.append(f"<![{data}]]>")
 
 
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -137,18 +148,37 @@ _PAGE_END = re.compile(r"</(html|body)\s*>", re.I)
 
 
 def _page_end(text: str) -> int:
-    """The offset at which the HTML page ends that a text starts with."""
-    bare = text
-    for pattern in (_PRE, _SPAN):
-        bare = pattern.sub(lambda m: " " * len(m[0]), bare)
-    ends = list(_PAGE_END.finditer(bare))
+    """The offset at which the HTML page ends that a text starts with, code set aside."""
+    ends = list(_PAGE_END.finditer(text))
     return max((m.end() for m in ends if m[1].lower() == "html"), default=max((m.end() for m in ends), default=len(text)))
 
 
-def main_content(page: str) -> str:
-    """A whole HTML page without head, scripts and blocks of links beside its main content, as HTML."""
-    tree = _Tree()
-    tree.feed(page)
+def _density(n: _Node, links: float) -> float:
+    """Composite text density; links: the share of the body's characters that are in links. Text of links has none."""
+    if not n.chars or n.linked:
+        return 0.0
+    base = math.log(n.chars / max(n.chars - n.link_chars, 1) * n.link_chars + links * n.chars + math.e)
+    return n.chars / max(n.tags, 1) * math.log(n.chars / max(n.link_chars, 1) * max(n.tags, 1) / max(n.link_tags, 1), base)
+
+
+def _written(node: _Node) -> str:
+    out, todo = [], [node]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str):
+            out.append(part)
+        else:
+            todo.extend(reversed(part.parts))
+    return "".join(out)
+
+
+def main_content(page: str, held: list[str]) -> tuple[str, list[str]]:
+    """A whole HTML page without head, scripts and blocks of links beside its main content, as HTML, and all that went.
+
+    held: what the marks in the page stand for, which counts as its text.
+    """
+    tree = _Tree(held)
+    tree.feed(page.replace("&", _AMP))
     tree.close()
     nodes = _order(tree.root)
     for n in reversed(nodes):
@@ -158,17 +188,9 @@ def main_content(page: str) -> str:
             n.link_chars += c.chars if c.tag == "a" else c.link_chars
             n.link_tags += 1 if c.tag == "a" else c.link_tags
     body = next((n for n in nodes if n.tag == "body"), tree.root)
-    lc, c = max(body.link_chars, 1), max(body.chars, 1)
-
-    def density(n: _Node) -> float:
-        if not n.chars:
-            return 0.0
-        plain = max(n.chars - n.link_chars, 1)
-        base = math.log(n.chars / plain * n.link_chars + lc / c * n.chars + math.e)
-        return n.chars / max(n.tags, 1) * math.log(n.chars / max(n.link_chars, 1) * max(n.tags, 1) / max(n.link_tags, 1) + math.e) / max(base, 1.0)
-
+    links = max(body.link_chars, 1) / max(body.chars, 1)
     inside = _order(body)
-    dense = {id(n): density(n) for n in inside}
+    dense = {id(n): _density(n, links) for n in inside}
     sums = {id(n): sum(dense[id(k)] for k in n.children) for n in inside}
     best = max(inside, key=lambda n: sums[id(n)])
     floor, node = dense[id(best)], best
@@ -188,11 +210,12 @@ def main_content(page: str) -> str:
         part = todo.pop()
         if isinstance(part, str):
             out.append(part)
-        elif part.tag in ("script", "style", "nav", "head"):
-            continue
-        elif id(part) in kept or id(part) in heads or part.link_tags < 2 or part.link_chars * 2 <= part.chars or density(part) >= floor:
+        elif part.tag not in ("script", "style", "nav", "head") and (id(part) in kept or id(part) in heads or part.link_tags < 2 or part.link_chars * 2 <= part.chars or _density(part, links) >= floor):
             todo.extend(reversed(part.parts))
-    return "".join(out)
+        else:
+            out.append(_GONE if part.chars else "")
+            tree.gone.append(_written(part))
+    return "".join(out).replace(_AMP, "&"), [part.replace(_AMP, "&") for part in tree.gone]
 
 
 _BRACE = re.compile(r"[{}]")
@@ -277,15 +300,18 @@ def convert(text: str | None) -> tuple[str | None, list[str]]:
     """The clean text and the kinds of markup found, in the order of KINDS. Null gives null, no kinds."""
     if text is None:
         return None, []
-    whole, kinds = _read(text, False)
-    return (_read(text, True)[0] if _PAGE.match(text) else whole), kinds
+    return _read(text, True)
 
 
-def _read(text: str, reduce: bool) -> tuple[str, list[str]]:
-    """The clean text and the kinds; with ``reduce`` a page that the text starts with gives its main content only."""
-    t = text.replace("\r\n", "\n").replace("\ue000", "").replace("\ue001", "")
+def _read(text: str, reduce: bool, held: list[str] | None = None) -> tuple[str, list[str]]:
+    """The clean text and the kinds; with ``reduce`` a page that the text starts with gives its main content only, and kinds of all of it.
+
+    held: what the marks in a part of a text stand for.
+    """
+    t = text
+    if held is None:
+        t, held = re.sub("[\ue000-\ue003]", "", text.replace("\r\n", "\n")), []
     found: set[str] = set()
-    held: list[str] = []
 
     def hold(kept: str, kind: str | None = None) -> str:
         if kind:
@@ -312,10 +338,8 @@ def _read(text: str, reduce: bool) -> tuple[str, list[str]]:
             lines.append(hold("```\n" + "\n".join([*block, "```"])))
         t = "\n".join(lines)
     angle, slash, brace = "<" in t, "\\" in t, "{" in t
+    page = reduce and angle and _PAGE.match(t)
     if angle:
-        if reduce and _PAGE.match(t):
-            end = _page_end(t)
-            t = main_content(t[:end]) + t[end:]
 
         def block(m: re.Match) -> str:
             found.add("html")
@@ -337,6 +361,12 @@ def _read(text: str, reduce: bool) -> tuple[str, list[str]]:
         t = _DISPLAY.sub(lambda m: hold((f"$${m[1].strip()}$$" if m[1] else f"$${m[2].strip()}$$" if m[2] else f"${m[3].strip()}$"), "latex"), t)
     if t.count("$") > 1:
         t = _INLINE.sub(lambda m: hold(m[0], "latex") if _MATH.search(m[1]) and not _MONEY.match(m[1]) else m[0], t)
+    if page:
+        end = _page_end(t)
+        kept, gone = main_content(t[:end], held)
+        t = kept + t[end:]
+        for part in gone:
+            found.update(_read(part, False, held)[1])
     if slash and (_COMMAND.search(t) or _BARE.search(t)):
         found.add("latex")
         t = _latex(t.replace("\\%", "%").replace("\\&", "&").replace("\\_", "_").replace("\\#", "#"))
@@ -398,11 +428,13 @@ def _read(text: str, reduce: bool) -> tuple[str, list[str]]:
     t = _HEAD.sub(lambda m: f"{m[1]} {m[2]}", t)
     if "|" in t:
         t = re.sub(r"^[ \t]*\|[ \t]*(.*?)[ \t]*\|[ \t]*$", lambda m: re.sub(r"[ \t]*\|[ \t]*", " | ", m[1]), t, flags=re.M)
+    t = t.replace(_GONE, "") if page else t
     t = t.replace("\xa0", " ")
     t = re.sub(r"[ \t]+$", "", t, flags=re.M)
     t = re.sub(r"(?<=\S)[ \t]{2,}", " ", t)
     while "\ue000" in t:
         t = _HOLD.sub(lambda m: held[int(m[1])], t)
+    t = t.replace(_GONE, "") if page else t  # in what was set aside
     return re.sub(r"\n{3,}", "\n\n", t).strip(), [k for k in KINDS if k in found]
 
 
@@ -417,7 +449,7 @@ def _convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in slices(batches):
-        yield pd.DataFrame({"ref_id": pdf["ref_id"], "version": pdf["version"], "kinds": [[] if t is None else _read(t, False)[1] for t in pdf["text"]]})
+        yield pd.DataFrame({"ref_id": pdf["ref_id"], "version": pdf["version"], "kinds": [convert(t)[1] for t in pdf["text"]]})
 
 
 def clean(texts: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from rankloom.llm import markup as M
@@ -86,3 +88,39 @@ def test_long_formulas_links_and_arguments():
     long = "a" * 6000
     clean, kinds = M.convert(f"\\textbf{{{long} \\emph{{b}}}} and {{{{box|{long}}}}} and [[{long}|shown]] and $x_1 + {'y + ' * 400} z$")
     assert kinds == ["wiki", "latex"] and clean.startswith(long + " b and") and "shown" in clean and "{{" not in clean and clean.endswith("z$")
+
+
+def test_density_is_the_composite_one():
+    import math
+
+    node = M._Node("div", None)
+    node.chars, node.tags, node.link_chars, node.link_tags = 300, 6, 60, 2
+    want = 300 / 6 * math.log(300 / 60 * 6 / 2) / math.log(math.log(300 / 240 * 60 + 0.25 * 300 + math.e))
+    assert M._density(node, 0.25) == pytest.approx(want)
+    assert M._density(M._Node("b", M._Node("a", node)), 0.25) == 0
+
+
+def test_bare_links_are_no_main_content():
+    links = "".join(f'<a href="/{i}">Page number {i} of the handbook</a> ' for i in range(80))
+    body = "".join(f"<p>Paragraph {i} with a good number of words in it and no links at all.</p>" for i in range(6))
+    clean, kinds = M.convert(f"<html><body><div>{links}</div><div>{body}</div></body></html>")
+    assert kinds == ["html"] and "Page number 7 " not in clean and "Paragraph 0" in clean and "Paragraph 5" in clean
+
+
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Go {i}</a></li>" for i in range(30)) + "<li><a href='/x'>{}</a></li></ul>"
+MAIN = "".join(f"<p>Paragraph {i} with a good number of words in it and no links at all.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("marks", ["[[a|b]]", "**b**", "$x_1$", "&copy x", "\\textbf{c}", "{{t|n=v}}", "<!-- [[q]] -->", "`<nav> [[b]]`", "<code>$x$ [[b]]</code>", "words", "{} {}"])
+@pytest.mark.parametrize("page", ["<div>{menu}</div><div>{main}</div>", "<!DOCTYPE html><head><title>{marks}</title></head><body><nav>{marks}</nav>{main}", "<body>{main}{marks}</body>\n\n[a](/b)", "<div>**<nav>menu {marks} here</nav>** and {main}</div>", "<div>**<nav><!-- c --></nav>** and {main}</div>"])
+def test_kinds_of_a_page_are_those_of_what_is_kept_and_what_goes(page, marks, monkeypatch):
+    import pandas as pd
+
+    parted = []
+    split = M.main_content
+    monkeypatch.setattr(M, "main_content", lambda *args: parted.append(split(*args)) or parted[-1])
+    text = page.replace("{menu}", MENU.replace("{}", marks, 1)).replace("{main}", MAIN).replace("{marks}", marks)
+    found = pd.concat(M._kinds(iter([pd.DataFrame({"ref_id": ["a"], "version": ["1"], "text": [text]})])))
+    assert len(parted) == 1 and found["kinds"][0] == M._read(text, False)[1]
+    clean = M.convert(text)[0]
+    assert "Paragraph 5" in clean and "Go 7" not in clean and not re.search("[\ue000-\ue003]", clean)
