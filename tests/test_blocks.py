@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import blocks as X, labels as L, metrics as M, search as S
+from rankloom.operators import blocks as X, graph as G, labels as L, metrics as M, search as S
 from rankloom.session import latest, newest
 
 WORDS = ["claim", "claims", "policy", "policies", "2015", "2015-06", "Avery", "Lancaster", "IQ", "IQTest", "desk's", "renewed", "office", "$1,343", "12½", "don't", "a_b"]
@@ -84,6 +84,16 @@ def test_texts_and_contexts(spark):
     assert sorted((r.n, r.doc_id, r.text or "") for r in X.with_texts(rows, where).collect()) == [(1, "a", "A"), (1, "b", ""), (1, "c", "C")]
 
 
+def test_best_units_as_of_all_scores(spark):
+    rng = random.Random(3)
+    names = [f"E{i}" for i in range(30)]
+    units = spark.createDataFrame([(rng.choice(names), f"u{rng.randrange(150)}") for _ in range(900)], "entity string, unit string")
+    anchors = spark.createDataFrame([(q, e) for q in range(40) for e in rng.sample(names, q % 4)] + [(50, "nowhere")], "query_id int, entity string")
+    near = spark.createDataFrame(list({(rng.choice(names), rng.choice(names)) for _ in range(80)}), "entity string, neighbour string")
+    want = S.ranked(G.score_units(G.expand(anchors, near), units), 6)
+    assert {tuple(r) for r in G.best_units(anchors, near, units, 6).collect()} == {tuple(r) for r in want.select("query_id", "doc_id", "score", "rank").collect()}
+
+
 def test_newest_is_latest(spark):
     rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "n"), (None, 3, "m"), ("c", None, "c"), ("c", 1, "d")]
     df = spark.createDataFrame(rows, "id string, at int, text string")
