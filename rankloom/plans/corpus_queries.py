@@ -8,7 +8,7 @@ from rankloom.functions import text as T
 from rankloom.functions.text import WS
 from rankloom.operators import chunking as C
 from rankloom.sources import corpus, datasets as D, store
-from rankloom.session import latest, table
+from rankloom.session import latest, newest, table
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,7 +17,7 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "source_documents")
-    return latest(s.select("id", "loaded_at", "title", "category", "text"), ["id"], ["loaded_at"]).select(F.col("id").alias("doc_id"), "title", "category", "text")
+    return newest(s.select("id", "loaded_at", "title", "category", "text"), ["id"], ["loaded_at"]).select(F.col("id").alias("doc_id"), "title", "category", "text")
 
 
 def fixed_chunks(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import chunking as C, graph as G, labels as L, metrics as M, models as P, search as S
+from rankloom.operators import blocks as X, chunking as C, graph as G, labels as L, metrics as M, models as P, search as S
 from rankloom.session import cut
 
 K, POOL = 5, 20
@@ -25,10 +25,25 @@ STRATEGIES = list(PROFILES)
 
 @dataclass
 class Index:
-    """Chunks (doc_id, parent, ordinal, text, embed_text, heading_path) with vectors, written once and read by all searches."""
+    """Chunks (doc_id, parent, ordinal, n, text, embed_text) with vectors and terms, written once and read by all searches from their places."""
 
     chunks: DataFrame
-    vectors: DataFrame
+    texts: str
+    vectors: str
+    alike: bool
+    terms: str | None = None
+    own_terms: str | None = None
+
+    def hold(self, items: DataFrame) -> str:
+        """The place of the terms of the texts, with the keywords of items; search takes the same where a text is embedded as it stands."""
+        self.own_terms = X.post(self.chunks.select("doc_id", "text"), items.select(F.explode("keywords").alias("keyword")))
+        self.terms = self.own_terms if self.alike else None
+        return self.own_terms
+
+    def searched(self) -> str:
+        """The place of the terms of what is embedded."""
+        self.terms = self.terms or X.post(self.chunks.select("doc_id", F.col("embed_text").alias("text")))
+        return self.terms
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
@@ -47,22 +62,24 @@ def index(corpus: DataFrame, profile: str, headers: DataFrame | None = None) ->
         if headers is not None:
             own = F.concat(F.lit("[Context: "), "header", F.lit("]\n"), "text")
             made = made.join(headers, "chunk_id", "left").withColumn("embed_text", F.coalesce(own, "embed_text")).drop("header")
-    chunks = cut(numbered(made.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("parent"), "ordinal", "text", "embed_text")))
-    return Index(chunks, cut(P.embed(chunks.select("doc_id", "n", "embed_text"), "embed_text").select("doc_id", "n", "embedding")))
+    ends = F.endswith("embed_text", "text")  # what goes before a text is kept, not the text twice
+    lead = F.when(ends, F.left("embed_text", F.length("embed_text") - F.length("text"))).alias("lead")
+    texts = X.keep(numbered(made.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("parent"), "ordinal", "text", lead, F.when(~ends, F.col("embed_text")).alias("other"))))
+    chunks = corpus.sparkSession.read.parquet(texts).withColumn("embed_text", F.coalesce("other", F.concat("lead", "text"))).drop("lead", "other")
+    return Index(chunks, texts, X.keep(P.embed(chunks.select("doc_id", "n", "embed_text"), "embed_text").select("n", "doc_id", "embedding")), profile in ("fixed", "structural"))
 
 
 def _dense(queries: DataFrame, ix: Index, k: int) -> DataFrame:
-    q = P.embed(queries.select("query_id", "text")).select(F.xxhash64("query_id").alias("qn"), "query_id", "embedding")
-    hits = S.dense_topk(q.select(F.col("qn").alias("query_id"), "embedding"), ix.vectors.select(F.col("n").alias("doc_id"), "embedding"), k, exclude_self=False)
-    return hits.join(q.select(F.col("qn").alias("query_id"), F.col("query_id").alias("q")), "query_id").join(ix.vectors.select(F.col("n").alias("doc_id"), F.col("doc_id").alias("d")), "doc_id").select(F.col("q").alias("query_id"), F.col("d").alias("doc_id"), "score", "rank")
+    return X.dense(P.embed(X.in_blocks(queries.select("query_id", "text"))), ix.vectors, k)
 
 
 def _sparse(queries: DataFrame, ix: Index, k: int) -> DataFrame:
-    return S.bm25_topk(queries, ix.chunks.select("doc_id", F.col("embed_text").alias("text")), k)
+    return X.bm25(queries, ix.searched(), k)
 
 
 def _reranked(questions: DataFrame, hits: DataFrame, ix: Index, k: int) -> DataFrame:
-    pairs = hits.join(questions.select("query_id", F.col("text").alias("question")), "query_id").join(ix.chunks.select("doc_id", "text"), "doc_id")
+    lists = hits.groupBy("query_id").agg(F.collect_list("doc_id").alias("docs"))
+    pairs = X.with_texts(questions.select("query_id", F.col("text").alias("question")).join(lists, "query_id"), ix.texts)
     scores = pairs.select("query_id", "doc_id", P.rerank_score(F.col("question"), F.col("text")).alias("model_score"))
     return S.rerank(hits.select("query_id", "doc_id", "score", "rank"), scores, k)
 
@@ -90,13 +107,13 @@ def query_plan(questions: DataFrame) -> DataFrame:
 def advanced_pro(questions: DataFrame, ix: Index, limit: int = K) -> DataFrame:
     """Routed queries over contextual chunks, fused with more weight for the question, reranked, widened by neighbours, compressed."""
     plan = cut(query_plan(questions))
-    lists = []
-    for nth in range(5):
-        q = plan.where(F.col("nth") == nth).select("query_id", "text")
-        lists += [(_dense(q, ix, POOL), 1.25 if nth == 0 else 1.0), (_sparse(q, ix, POOL), 1.25 if nth == 0 else 1.0)]
-    pool = plan.select("query_id", F.when(F.col("category") == "broad", POOL).otherwise(15).alias("pool"), "k").distinct()
-    kept = [(h.join(pool, "query_id").where("rank <= pool").select("query_id", "doc_id", "score", "rank"), w) for h, w in lists]
-    fused = cut(S.fuse(kept, POOL).select("query_id", "doc_id", "score", "rank"))
+    size = F.when(F.col("category") == "broad", POOL).otherwise(15)
+    # All queries of all questions are searched at once; a query's place and how many hits it may give stand before its question's ID.
+    q = plan.select(F.concat(F.format_string("%02d%02d", F.col("nth").cast("int"), size), "query_id").alias("query_id"), "text")
+    own = lambda hits, kind: hits.where(F.col("rank") <= F.substring("query_id", 3, 2).cast("int")).select(
+        F.expr("substring(query_id, 5)").alias("query_id"), "doc_id", (F.substring("query_id", 1, 2).cast("int") * 2 + kind).alias("list"), F.col("rank").alias("at"), F.when(F.substring("query_id", 1, 2) == "00", 1.25).otherwise(1.0).alias("weight"))
+    fused = cut(S.fuse_rows(own(_dense(q, ix, POOL), 0).unionByName(own(_sparse(q, ix, POOL), 1)), POOL).select("query_id", "doc_id", "score", "rank"))
+    pool = plan.select("query_id", "k").distinct()
     best = _reranked(questions, fused, ix, POOL).join(pool, "query_id").where("rank <= k").select("query_id", "doc_id", "score", "rank")
     wide = S.add_neighbours(best, ix.chunks.select("doc_id", "parent", "ordinal")).select("query_id", "doc_id", "score", "rank")
     return S.compress(wide, ix.chunks.select("doc_id", "text"), limit)
@@ -105,7 +122,7 @@ def advanced_pro(questions: DataFrame, ix: Index, limit: int = K) -> DataFrame:
 def graphrag(questions: DataFrame, ix: Index, entities: DataFrame, near: DataFrame, units: DataFrame, k: int = K) -> DataFrame:
     """Graph search fused with dense and BM25, the graph's weight by how specific a question's anchors are; those alone where it finds nothing."""
     anchors = cut(G.match_entities(questions, entities))
-    hits = S.ranked(G.score_units(G.expand(anchors, near), units), POOL)
+    hits = G.best_units(anchors, near, units, POOL)
     weight = G.specificity(anchors, units, questions)
     rest = [_dense(questions, ix, POOL), _sparse(questions, ix, POOL)]
     parts_ = [hits.join(weight, "query_id").select("query_id", "doc_id", F.lit(0).alias("list"), "rank", "weight")]
@@ -121,13 +138,14 @@ def run(items: DataFrame, search: Callable[[DataFrame], DataFrame], ix: Index, s
     The answer is drawn from question and context alone.
     """
     questions = items.select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
+    terms = ix.hold(items)
     hits = cut(search(questions))
-    labels = L.rescue(L.grades(items, ix.chunks.select("doc_id", "text"))).withColumnRenamed("item_id", "query_id")
+    labels = L.rescue(cut(L.needed(items, terms, hits, k))).withColumnRenamed("item_id", "query_id")
     scored = M.evaluate(questions, hits, labels, k)
-    texts = hits.where(F.col("rank") <= k).join(ix.chunks.select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("t"))
-    context = texts.select("query_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("context"))
-    asked = questions.join(context, "query_id", "left").select("query_id", F.coalesce("context", F.lit("")).alias("context"), P.answer(F.col("text"), F.col("context")).alias("generated"))
-    j = items.select(F.col("item_id").alias("query_id"), "pos", "question", F.coalesce("answer", F.lit("")).alias("reference"), "question_type").join(asked, "query_id").withColumn("j", P.judge(F.col("question"), F.col("generated"), F.col("reference"), F.col("context")))
+    lists = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("docs"))
+    asked = items.select(F.col("item_id").alias("query_id"), "pos", "question", F.coalesce("answer", F.lit("")).alias("reference"), "question_type").join(lists, "query_id", "left")
+    told = X.with_context(asked, ix.texts).withColumn("generated", P.answer(F.col("question"), F.when(F.col("context") != "", F.col("context"))))
+    j = told.withColumn("j", P.judge(F.col("question"), F.col("generated"), F.col("reference"), F.col("context")))
     rows = j.select("query_id", "pos", "question_type", "generated", "j.*").join(scored, "query_id")
     return rows.withColumn("strategy", F.lit(strategy)).withColumn("error", F.lit(None).cast("string"))
 

@@ -1,4 +1,4 @@
-"""Queries that run whole strategies over the source documents; the questions of searches are those whose position is divisible by 50."""
+"""Queries that run whole strategies over the source documents, for every question."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from rankloom.session import cut, table
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
-    return cut(items(spark, folder).withColumn("gold", F.lit(None).cast("array<string>")))
+    return cut(items(spark, folder, None).withColumn("gold", F.lit(None).cast("array<string>")))
 
 
 def _corpus(spark: SparkSession, folder: str) -> DataFrame:

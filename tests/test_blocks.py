@@ -1,4 +1,4 @@
-"""Search in blocks: against brute force and the operators on pairs, with slices and blocks of any size."""
+"""Search in blocks: against brute force and the operators on pairs, with slices and blocks of any size; and strategies on every question."""
 
 import random
 
@@ -98,3 +98,34 @@ def test_newest_is_latest(spark):
     rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "n"), (None, 3, "m"), ("c", None, "c"), ("c", 1, "d")]
     df = spark.createDataFrame(rows, "id string, at int, text string")
     assert sorted(map(str, newest(df, ["id"], ["at"]).collect())) == sorted(map(str, latest(df, ["id"], ["at"]).collect()))
+
+
+def _tables(spark, folder):
+    docs = [(f"s{i}", f"t{i}.md", "team", f"# Item {i}\n\nItem {i} was renewed in May {2000 + i}. The Hull office handles item {i}.", "2024-01-01") for i in range(12)]
+    spark.createDataFrame(docs, "id string, title string, category string, text string, loaded_at string").write.parquet(f"{folder}/source_documents.parquet")
+    rows = [(f"q{i}", "2024-01-01", i if i else None, f"When was item {i} renewed?", f"In May {2000 + i}", [f"May {2000 + i}"], "fact", ["c"]) for i in range(12)]
+    spark.createDataFrame(rows, "id string, loaded_at string, pos long, question string, reference_answer string, expected_keywords array<string>, question_type string, gold_chunk_ids array<string>").write.parquet(f"{folder}/evaluation_items.parquet")
+    spark.createDataFrame([("g", 0, ["ITEM", "HULL"])], "id string, community_level int, entity_ids array<string>").write.parquet(f"{folder}/graph_communities.parquet")
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    place = str(tmp_path_factory.mktemp("tables"))
+    _tables(spark, place)
+    return place
+
+
+@pytest.mark.parametrize("name", ["strategy_baseline", "strategy_advanced", "strategy_advanced_pro", "strategy_graphrag"])
+def test_strategies_answer_every_question(spark, folder, name):
+    from rankloom.plans import strategy_queries
+
+    rows = strategy_queries.QUERIES[name](spark, folder).collect()
+    assert sorted(r.query_id for r in rows) == sorted(f"q{i}" for i in range(12)) and sum(r.hit_rate for r in rows) >= 5
+
+
+def test_scores_are_of_every_question(spark, folder, monkeypatch):
+    from rankloom.operators import aggregates as A
+    from rankloom.plans import strategy_queries
+
+    monkeypatch.setattr(A, "summary", lambda rows: rows)
+    assert strategy_queries.strategy_scores(spark, folder).count() == 12
