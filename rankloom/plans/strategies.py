@@ -93,7 +93,7 @@ def advanced(questions: DataFrame, ix: Index, k: int = K) -> DataFrame:
     """Question and rewrite, dense and BM25, fused and reranked."""
     other = questions.select("query_id", P.rewrite(F.col("text")).alias("text")).where("text is not null")
     fused = S.fuse([(_dense(questions, ix, POOL), 1.0), (_sparse(questions, ix, POOL), 1.0), (_dense(other, ix, POOL), 1.0), (_sparse(other, ix, POOL), 1.0)], POOL)
-    return _reranked(questions, cut(fused.select("query_id", "doc_id", "score", "rank")), ix, k)
+    return _reranked(questions, X.held(fused.select("query_id", "doc_id", "score", "rank")), ix, k)
 
 
 def query_plan(questions: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def advanced_pro(questions: DataFrame, ix: Index, limit: int = K) -> DataFrame:
     q = plan.select(F.concat(F.format_string("%02d%02d", F.col("nth").cast("int"), size), "query_id").alias("query_id"), "text")
     own = lambda hits, kind: hits.where(F.col("rank") <= F.substring("query_id", 3, 2).cast("int")).select(
         F.expr("substring(query_id, 5)").alias("query_id"), "doc_id", (F.substring("query_id", 1, 2).cast("int") * 2 + kind).alias("list"), F.col("rank").alias("at"), F.when(F.substring("query_id", 1, 2) == "00", 1.25).otherwise(1.0).alias("weight"))
-    fused = cut(S.fuse_rows(own(_dense(q, ix, POOL), 0).unionByName(own(_sparse(q, ix, POOL), 1)), POOL).select("query_id", "doc_id", "score", "rank"))
+    fused = X.held(S.fuse_rows(own(_dense(q, ix, POOL), 0).unionByName(own(_sparse(q, ix, POOL), 1)), POOL).select("query_id", "doc_id", "score", "rank"))
     pool = plan.select("query_id", "k").distinct()
     best = _reranked(questions, fused, ix, POOL).join(pool, "query_id").where("rank <= k").select("query_id", "doc_id", "score", "rank")
     wide = S.add_neighbours(best, ix.chunks.select("doc_id", "parent", "ordinal")).select("query_id", "doc_id", "score", "rank")
@@ -139,8 +139,8 @@ def run(items: DataFrame, search: Callable[[DataFrame], DataFrame], ix: Index, s
     """
     questions = items.select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
     terms = ix.hold(items)
-    hits = cut(search(questions))
-    labels = L.rescue(cut(L.needed(items, terms, hits, k))).withColumnRenamed("item_id", "query_id")
+    hits = X.held(search(questions))
+    labels = L.rescue(X.held(L.needed(items, terms, hits, k))).withColumnRenamed("item_id", "query_id")
     scored = M.evaluate(questions, hits, labels, k)
     lists = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("docs"))
     asked = items.select(F.col("item_id").alias("query_id"), "pos", "question", F.coalesce("answer", F.lit("")).alias("reference"), "question_type").join(lists, "query_id", "left")
